@@ -78,16 +78,16 @@ def _land_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _placeholders(w: Warehouse) -> DataFrame:
-    rows = null_placeholders(w.raw["transactions"], ["color", "payment_method", "currency"])
+    rows = null_placeholders(w.raw("transactions"), ["color", "payment_method", "currency"])
     return rows.select("invoice_id", "line", "product_id", "store_id", "line_total", "color", "payment_method", "currency")
 
 
 def _clean_customers(w: Warehouse) -> DataFrame:
-    return clean.clean("customers", w.raw["customers"])
+    return clean.clean("customers", w.raw("customers"))
 
 
 def _clean_products(w: Warehouse) -> DataFrame:
-    rows = clean.clean("products", w.raw["products"])
+    rows = clean.clean("products", w.raw("products"))
     return rows.select(
         "product_id", "category", "sub_category", "description_en", "production_cost",
         F.array_join("sizes", "|").alias("sizes"), F.size("sizes").alias("size_count"),
@@ -95,11 +95,11 @@ def _clean_products(w: Warehouse) -> DataFrame:
 
 
 def _clean_stores(w: Warehouse) -> DataFrame:
-    return clean.clean("stores", w.raw["stores"]).drop("zip_code")
+    return clean.clean("stores", w.raw("stores")).drop("zip_code")
 
 
 def _clean_discounts(w: Warehouse) -> DataFrame:
-    return clean.clean("discounts", w.raw["discounts"]).drop("description")
+    return clean.clean("discounts", w.raw("discounts")).drop("description")
 
 
 def _transactions(w: Warehouse) -> DataFrame:
@@ -118,7 +118,7 @@ def _dedup_full_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _iqr_filter(w: Warehouse) -> DataFrame:
-    rows = clean.unique_rows("products", w.raw["products"])
+    rows = clean.unique_rows("products", w.raw("products"))
     return outliers.iqr_filter(rows, ["production_cost"]).select("product_id", "production_cost")
 
 
@@ -291,10 +291,10 @@ FROM_WAREHOUSE: dict[str, Callable[[Warehouse], DataFrame]] = {
     "clean_customers": _clean_customers,
     "clean_products": _clean_products,
     "clean_stores": _clean_stores,
-    "clean_employees": lambda w: clean.clean("employees", w.raw["employees"]),
+    "clean_employees": lambda w: clean.clean("employees", w.raw("employees")),
     "clean_discounts": _clean_discounts,
     "clean_transactions": _transactions,
-    "clean_quality_report": lambda w: clean.quality_report(w.raw),
+    "clean_quality_report": lambda w: clean.quality_report({t: w.raw(t) for t in TABLES}),
     "iqr_filter": _iqr_filter,
     "fx_convert": _fx_convert,
     "fact_join_customers": _join_customers,
@@ -407,6 +407,6 @@ def all_queries() -> dict[str, Query]:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales by category straight from the raw tables: clean, convert, join products, profit, report."""
     w = open_warehouse(spark, sf_dir)
-    lines = add_usd_columns(clean.clean("transactions", w.raw["transactions"]))
-    joined = fact.add_profit(fact.join_products(lines, clean.clean("products", w.raw["products"])))
+    lines = add_usd_columns(clean.clean("transactions", w.raw("transactions")))
+    joined = fact.add_profit(fact.join_products(lines, clean.clean("products", w.raw("products"))))
     return plain(reports.by_category(joined))

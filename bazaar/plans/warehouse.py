@@ -7,7 +7,8 @@ written before the fact is joined, so that Spark decides on broadcasting them by
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,21 +18,30 @@ from bazaar.operators.clean import clean
 from bazaar.operators.fact import build_fact
 from bazaar.operators.promotions import promo_calendar, sales_days
 from bazaar.sources import adapter
-from bazaar.sources.sinks import write_fact, write_table
+from bazaar.sources.sinks import write_fact, write_rows, write_table
 from bazaar.sources.workspace import new_folder
 
 DIMENSIONS = ("customers", "products", "stores", "employees", "discounts")
 
 
 class Warehouse:
-    """Tables over one set of raw tables (snake_case, strings). Each is written at first use and read from then on."""
+    """Tables over one set of raw tables (snake_case, strings). Each is written at first use and read from then on.
 
-    def __init__(self, spark: SparkSession, raw: dict[str, DataFrame], root: str):
+    Raw tables named in ``land`` are themselves results of a job, and are written before they are cleaned.
+    """
+
+    def __init__(self, spark: SparkSession, raw: dict[str, DataFrame], root: str, land: Sequence[str] = ()):
         self.spark = spark
-        self.raw = raw
         self.root = root
+        self._sources = raw
+        self._land = land
         self._written: dict[str, DataFrame] = {}
 
+    def raw(self, name: str) -> DataFrame:
+        if name not in self._land:
+            return self._sources[name]
+        return self.table(f"raw_{name}", lambda: self._sources[name], write_rows)
+
     def table(self, name: str, make: Callable[[], DataFrame], write=write_table) -> DataFrame:
         if name not in self._written:
             path = f"{self.root}/{name}"
@@ -45,18 +55,27 @@ class Warehouse:
     def clean(self, name: str) -> DataFrame:
         """A dimension from its written table; transactions stay a plan, because only the fact uses them."""
         if name in DIMENSIONS:
-            return self.table(name, lambda: clean(name, self.raw[name]))
-        return clean(name, self.raw[name])
+            return self.table(name, lambda: clean(name, self.raw(name)))
+        return clean(name, self.raw(name))
 
     def sales_days(self) -> DataFrame:
         """Taken over unchecked raw dates: a wider range than the clean lines have only adds unused calendar days."""
-        dates = self.raw["transactions"].select(to_instant("date").alias("date"))
+        dates = self.raw("transactions").select(to_instant("date").alias("date"))
         return self.table("sales_days", lambda: sales_days(dates))
 
     def calendar(self) -> DataFrame:
         return self.table("promo_calendar", lambda: promo_calendar(self.clean("discounts"), self.sales_days()))
 
+    def prepare(self) -> None:
+        """Write everything the fact needs. The tables do not depend on each other, so their jobs share the cluster."""
+        with ThreadPoolExecutor(len(DIMENSIONS) + 1) as pool:
+            waiting = [pool.submit(self.clean, name) for name in DIMENSIONS] + [pool.submit(self.sales_days)]
+            for job in waiting:
+                job.result()
+        self.calendar()
+
     def build_fact(self) -> DataFrame:
+        self.prepare()
         return build_fact({t: self.clean(t) for t in (*DIMENSIONS, "transactions")}, self.calendar())
 
     def fact(self) -> DataFrame:
@@ -71,5 +90,5 @@ def open_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     where = (spark.sparkContext.applicationId, sf_dir)
     if where not in _open:
         raw = {name: to_snake(df) for name, df in adapter.raw_tables(spark, sf_dir).items()}
-        _open[where] = Warehouse(spark, raw, new_folder(spark, "warehouse"))
+        _open[where] = Warehouse(spark, raw, new_folder(spark, "warehouse"), land=("transactions",))
     return _open[where]

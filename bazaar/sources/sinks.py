@@ -30,6 +30,11 @@ def write_table(df: DataFrame, path: str) -> None:
     df.hint("rebalance").write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
 
 
+def write_rows(df: DataFrame, path: str) -> None:
+    """Rows as their tasks hold them, without a shuffle: for tables as large as the source."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+
+
 def write_model(model: JavaMLWritable, path: str) -> None:
     model.write().overwrite().save(path)
 
