@@ -293,7 +293,7 @@ FROM_WAREHOUSE: dict[str, Callable[[Warehouse], DataFrame]] = {
     "clean_stores": _clean_stores,
     "clean_employees": lambda w: clean.clean("employees", w.raw("employees")),
     "clean_discounts": _clean_discounts,
-    "clean_transactions": _transactions,
+    "clean_transactions": lambda w: clean.clean("transactions", w.raw("transactions")),
     "clean_quality_report": lambda w: clean.quality_report({t: w.raw(t) for t in TABLES}),
     "iqr_filter": _iqr_filter,
     "fx_convert": _fx_convert,

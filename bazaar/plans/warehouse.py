@@ -1,8 +1,9 @@
 """From raw tables to written clean tables, the promotion calendar and the sales fact.
 
 Reports, features and models read the written fact, as a dashboard or a training job would: the joins are paid once, a
-report scans only its columns, and a lost executor costs a re-read instead of a rebuild. Dimensions and calendar are
-written before the fact is joined, so that Spark decides on broadcasting them by the size of real files.
+report scans only its columns, and a lost executor costs a re-read instead of a rebuild. Clean tables are written before
+the fact is joined: raw JSON is parsed once, the range of sales days is a scan of one column, and Spark decides on
+broadcasting a dimension or the calendar by the size of real files.
 """
 
 from __future__ import annotations
@@ -12,8 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaar.contract import to_snake
-from bazaar.functions.text import to_instant
+from bazaar.contract import TABLES, to_snake
 from bazaar.operators.clean import clean
 from bazaar.operators.fact import build_fact
 from bazaar.operators.promotions import promo_calendar, sales_days
@@ -21,7 +21,7 @@ from bazaar.sources import adapter
 from bazaar.sources.sinks import write_fact, write_rows, write_table
 from bazaar.sources.workspace import new_folder
 
-DIMENSIONS = ("customers", "products", "stores", "employees", "discounts")
+DIMENSIONS = tuple(t for t in TABLES if t != "transactions")
 
 
 class Warehouse:
@@ -53,15 +53,12 @@ class Warehouse:
         return name in self._written
 
     def clean(self, name: str) -> DataFrame:
-        """A dimension from its written table; transactions stay a plan, because only the fact uses them."""
-        if name in DIMENSIONS:
-            return self.table(name, lambda: clean(name, self.raw(name)))
-        return clean(name, self.raw(name))
+        """A clean table. Transactions are written as their tasks hold them: an even hash partitioning by line key."""
+        write = write_rows if name == "transactions" else write_table
+        return self.table(name, lambda: clean(name, self.raw(name)), write)
 
     def sales_days(self) -> DataFrame:
-        """Taken over unchecked raw dates: a wider range than the clean lines have only adds unused calendar days."""
-        dates = self.raw("transactions").select(to_instant("date").alias("date"))
-        return self.table("sales_days", lambda: sales_days(dates))
+        return self.table("sales_days", lambda: sales_days(self.clean("transactions")))
 
     def calendar(self) -> DataFrame:
         return self.table("promo_calendar", lambda: promo_calendar(self.clean("discounts"), self.sales_days()))
@@ -76,7 +73,7 @@ class Warehouse:
 
     def build_fact(self) -> DataFrame:
         self.prepare()
-        return build_fact({t: self.clean(t) for t in (*DIMENSIONS, "transactions")}, self.calendar())
+        return build_fact({t: self.clean(t) for t in TABLES}, self.calendar())
 
     def fact(self) -> DataFrame:
         return self.table("fact_transactions", self.build_fact, write_fact)

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only in local mode, where driver and executors are one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -15,9 +18,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="bazaar-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _own:
+        _own[application] = tempfile.mkdtemp(prefix="bazaar-")
+    return _own[application]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

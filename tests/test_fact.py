@@ -103,6 +103,13 @@ def test_fifteen_reports_by_name(fact):
         reports.report(fact, "nothing")
 
 
+def test_approximate_overview(fact):
+    exact = reports.overview(fact).first()
+    near = reports.overview(fact, F.approx_count_distinct).first()
+    for name, value in exact.asDict().items():
+        assert near[name] == pytest.approx(value, rel=0.15)
+
+
 def test_report_row_limit(fact):
     assert reports.report(fact, "monthly_sales", max_rows=3).count() == 3
 
