@@ -55,6 +55,11 @@ def test_features_of_one_customer(spark):
     assert (two.customer_age, two.age_group, two.customer_gender) == (0.0, "55+", None)
 
 
+def test_features_hash_their_lines(fact):
+    plan = features.customer_features(fact)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_one_row_per_customer(customer_features, fact):
     assert customer_features.count() == fact.select("customer_id").distinct().count()
 
