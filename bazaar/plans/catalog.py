@@ -78,8 +78,9 @@ def _land_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _placeholders(w: Warehouse) -> DataFrame:
-    rows = null_placeholders(w.raw("transactions"), ["color", "payment_method", "currency"])
-    return rows.select("invoice_id", "line", "product_id", "store_id", "line_total", "color", "payment_method", "currency")
+    texts = ["color", "payment_method", "currency"]
+    rows = null_placeholders(w.raw("transactions"), texts)
+    return rows.select(*LINE_KEY, "product_id", "store_id", "line_total", *texts)
 
 
 def _clean_customers(w: Warehouse) -> DataFrame:

@@ -123,7 +123,8 @@ def evaluate(predictions: DataFrame) -> dict[str, float]:
             labelCol=LABEL, rawPredictionCol="rawPrediction", metricName="areaUnderROC"
         ).evaluate(predictions)
     }
-    for name, metric in (("f1", "f1"), ("weighted_precision", "weightedPrecision"), ("weighted_recall", "weightedRecall")):
+    weighted = {"f1": "f1", "weighted_precision": "weightedPrecision", "weighted_recall": "weightedRecall"}
+    for name, metric in weighted.items():
         evaluator = MulticlassClassificationEvaluator(labelCol=LABEL, predictionCol="prediction", metricName=metric)
         figures[name] = evaluator.evaluate(predictions)
     own = confusion_metrics(predictions).first()

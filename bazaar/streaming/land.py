@@ -16,8 +16,9 @@ def land(messages: DataFrame, root: str, checkpoint: str, rows_per_file: int = 5
     the same input adds nothing, and a run after a crash goes on where the last complete batch ended.
     """
     status = F.when(decodable(), "ok").otherwise("rejected")
+    one_line = F.translate("value", "\r\n", "  ")  # between tokens a line break is as good as a blank
     return (
-        messages.select("value", status.alias("status"), "topic")
+        messages.select(one_line.alias("value"), status.alias("status"), "topic")
         .writeStream.format("text")
         .partitionBy("status", "topic")
         .option("maxRecordsPerFile", rows_per_file)
