@@ -13,13 +13,14 @@ import heapq
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.llm.common import chunks, private
+from bazaar.llm.common import chunks
 
 LETTER, NUMBER, OTHER, BLANK, SPACE, SHORT, LONG, END = range(8)
 # Fixed values: \s of the pattern, and letters and numbers newer than Python's own Unicode tables.
@@ -29,6 +30,7 @@ NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16
 #: Pieces that a worker keeps merged; beyond it the cache starts anew.
 CACHE = 400_000
 CHUNK = 1_000_000
+NONE = 2**31 - 1
 
 # States before a character: 0 a contraction may begin, 1 an apostrophe would join what stands before it,
 # 2 and 3: one or two letters of a contraction are left.
@@ -103,35 +105,101 @@ def boundaries(points: np.ndarray) -> np.ndarray:
     return start | (kind == END) | (previous == END)
 
 
+class Pairs:
+    """Which two tokens join into which: a hash table in arrays, probed linearly, for many pairs at once."""
+
+    BITS = 20
+
+    def __init__(self, ranks: dict[bytes, int]):
+        found = {(x << 32) | y: r for t, r in ranks.items() for i in range(1, len(t)) if (x := ranks.get(t[:i])) is not None and (y := ranks.get(t[i:])) is not None}
+        keys, values = np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.int32, len(found))
+        self.keys, self.values = np.full(1 << self.BITS, -1, np.int64), np.full(1 << self.BITS, NONE, np.int32)
+        at = self._slot(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]  # of several, the last one stays
+            set_ = self.keys[at] == keys
+            self.values[at[set_]] = values[set_]
+            keys, values, at = keys[~set_], values[~set_], (at[~set_] + 1) & ((1 << self.BITS) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Rank of the joined token, or NONE; a negative token joins nothing."""
+        keys = (x.astype(np.int64) << 32) | y.astype(np.int64)
+        out = np.full(len(keys), NONE, np.int32)
+        todo = np.flatnonzero((x >= 0) & (y >= 0))
+        at = self._slot(keys[todo])
+        while len(todo):
+            there = self.keys[at]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.values[at[hit]]
+            on = ~hit & (there >= 0)
+            todo, at = todo[on], (at[on] + 1) & ((1 << self.BITS) - 1)
+        return out
+
+
 class Merger:
-    """Merges pieces by rank; results are kept per piece."""
+    """Merges pieces by rank, many at a time; results are kept per piece."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.pairs = Pairs(self.ranks)
+        self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.cache: dict[str, tuple[int, ...]] = {}
 
-    def ids(self, piece: str) -> tuple[int, ...]:
-        data, ranks = piece.encode(), self.ranks
-        if data in ranks:
-            return (ranks[data],)
-        parts = [data[i : i + 1] for i in range(len(data))]
-        if len(parts) > 64:
-            return self._long(parts)
-        none = 1 << 60
-        pair = [ranks.get(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
-        while pair and (least := min(pair)) < none:
-            i = pair.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pair[i]
-            if i < len(pair):
-                pair[i] = ranks.get(parts[i] + parts[i + 1], none)
-            if i:
-                pair[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-        return tuple(ranks[p] for p in parts)
-
-    def _long(self, parts: list) -> tuple[int, ...]:
-        """The same with a heap and linked neighbours: n log n for pieces of any length."""
+    def learn(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
+        """The cache, which then has all these pieces."""
+        new = list(set(pieces).difference(self.cache))
+        if len(self.cache) + len(new) > CACHE:
+            self.cache = {}
+        by_size: dict[int, list[tuple[str, bytes]]] = {}
+        for piece in new:
+            data = piece.encode()
+            if data in self.ranks:
+                self.cache[piece] = (self.ranks[data],)
+            else:
+                by_size.setdefault(min(-(-len(data) // 8) * 8, 72), []).append((piece, data))
+        for size, group in by_size.items():
+            for i in range(0, len(group), 20_000):
+                some = group[i : i + 20_000]
+                found = self._short([d for _, d in some], size) if size <= 64 else [self._long(d) for _, d in some]
+                self.cache.update(zip([p for p, _ in some], found))
+        return self.cache
+
+    def _short(self, data: list[bytes], size: int) -> list[tuple[int, ...]]:
+        """One round merges the best pair of every piece; pieces are rows, padded to ``size`` bytes."""
+        n, columns = len(data), np.arange(size)
+        lengths = np.array([len(d) for d in data])
+        rows = np.frombuffer(b"".join(d.ljust(size, b"\0") for d in data), np.uint8).reshape(n, size)
+        tokens = np.full((n, size + 1), -1, np.int32)
+        tokens[:, :size] = np.where(columns < lengths[:, None], self.byte[rows], -1)
+        rank = self.pairs(tokens[:, :-1].ravel(), tokens[:, 1:].ravel()).reshape(n, size)
+        rank = np.concatenate([rank, np.full((n, 1), NONE, np.int32)], axis=1)
+        live = np.arange(n)
+        while len(live):
+            best = rank[live].argmin(1)
+            live, best = (x[rank[live, best] < NONE] for x in (live, best))
+            if not len(live):
+                break
+            t, r = tokens[live], rank[live]
+            k = np.arange(len(live))
+            joined = r[k, best]
+            shift = np.minimum(np.arange(size + 1) + (np.arange(size + 1) > best[:, None]), size)
+            t, r = np.take_along_axis(t, shift, 1), np.take_along_axis(r, shift, 1)
+            t[k, best] = joined
+            r[k, best] = self.pairs(joined, t[k, np.minimum(best + 1, size)])
+            left = np.flatnonzero(best)
+            r[left, best[left] - 1] = self.pairs(t[left, best[left] - 1], joined[left])
+            tokens[live], rank[live] = t, r
+        counts = (tokens >= 0).sum(1).tolist()
+        return [tuple(row[:c]) for row, c in zip(tokens.tolist(), counts)]  # tuples of numbers are no work for the garbage collector
+
+    def _long(self, data: bytes) -> tuple[int, ...]:
+        """The same for one piece, with a heap and linked neighbours: n log n at any length."""
+        parts: list = [data[i : i + 1] for i in range(len(data))]
         ranks, n = self.ranks, len(parts)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
@@ -150,16 +218,6 @@ class Merger:
                     heapq.heappush(heap, (r, a, len(parts[a]) + len(parts[b])))
         return tuple(ranks[p] for p in parts if p is not None)
 
-    def __call__(self, piece: str) -> tuple[int, ...]:
-        found = self.cache.get(piece)
-        if found is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            found = self.ids(piece)
-            if len(piece) <= 64:
-                self.cache[piece] = found
-        return found
-
 
 @lru_cache(2)
 def merger(path: str) -> Merger:
@@ -178,35 +236,48 @@ def encode_texts(texts: list[str], path: str) -> Iterator[tuple[np.ndarray, np.n
         starts = np.flatnonzero(boundaries(points))
         stop = np.searchsorted(starts, ends)
         edge = starts.tolist()
-        begin = 0
+        get, begin = merge.cache.get, 0
+        found = [get(joined[x:y]) for x, y in zip(edge, edge[1:])]
+        missing = [i for i, x in enumerate(found) if x is None]
+        pieces = [joined[edge[i] : edge[i + 1]] for i in missing]
+        learnt = merge.learn(pieces)
+        for i, piece in zip(missing, pieces):
+            found[i] = learnt[piece]
         for k, end in enumerate(stop.tolist()):
-            cut = edge[begin : end + 1]
-            ids: list[int] = []
-            add, get = ids.extend, merge.cache.get
-            for a, b in zip(cut, cut[1:]):
-                piece = joined[a:b]
-                add(get(piece) or merge(piece))
+            ids = list(chain.from_iterable(found[begin:end]))
             offset = 0 if k == 0 else int(ends[k - 1]) + 1
             yield np.array(ids, np.int32), (starts[begin:end] - offset).astype(np.int32)
             begin = end + 1
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """key, ids array<int>, offsets array<int>: the tokens of each whole text and where its pieces begin (code points).
 
     path: a file of ranks that every executor has. A null text is empty and has no tokens. Repeated keys, ties and
-    repeated rows give a row each; other columns are ignored. A text of any length is encoded whole.
+    repeated rows give a row each; other columns are ignored. A text of any length is encoded whole. With ``decoded`` a
+    column of that name holds the bytes that the ids stand for.
     """
 
     def run(batches):
+        byte = decoder(path) if decoded else None
         for batch in batches:
-            texts = batch["text"].tolist()
-            out = list(encode_texts(texts, path))
-            yield pd.DataFrame({"key": batch["key"], "ids": [x[0] for x in out], "offsets": [x[1] for x in out]})
+            texts, keys = batch["text"].tolist(), batch["key"]
+            for first, last in chunks(np.array([len(t) + 1 for t in texts]), CHUNK):
+                out = list(encode_texts(texts[first:last], path))
+                frame = {"key": keys.iloc[first:last], "ids": [x[0] for x in out], "offsets": [x[1] for x in out]}
+                if decoded:
+                    frame["decoded"] = [b"".join(map(byte, x[0].tolist())) for x in out]
+                yield pd.DataFrame(frame)
 
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"key {kind}, ids array<int>, offsets array<int>").withColumnRenamed("key", key)
+    schema = f"key {kind}, ids array<int>, offsets array<int>" + ", decoded binary" * decoded
+    return rows.mapInPandas(run, schema).withColumnRenamed("key", key)
+
+
+def decoder(path: str):
+    """From an id to its bytes."""
+    return {v: k for k, v in merger(path).ranks.items()}.__getitem__
 
 
 def decode(ids: Column, path: str) -> Column:
@@ -214,7 +285,7 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        byte = {v: k for k, v in merger(path).ranks.items()}.__getitem__
+        byte = decoder(path)
         for batch in batches:
             yield pd.Series([None if x is None else b"".join(map(byte, x.tolist())) for x in batch], index=batch.index, dtype=object)
 
@@ -223,13 +294,10 @@ def decode(ids: Column, path: str) -> Column:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_pieces of every document."""
-    tokens = encode(docs, path)
-    back = private("decoded")
-    tokens = tokens.withColumn(back, decode(F.col("ids"), path))
-    return tokens.select(
+    return encode(docs, path, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2(F.col(back), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
         F.size("offsets").cast("long").alias("n_pieces"),
     )

@@ -56,3 +56,5 @@ def test_frame(spark):
     assert got == sorted(str(Row(doc_id=a, n_tokens=b, ids_sha256=c, decoded_sha256=d)) for a, b, c, d in want)
     assert bpe.digests(docs.limit(0), PATH).count() == 0
     assert bpe.encode(docs.where("doc_id = 2"), PATH).first().asDict()["offsets"] == [0]
+    tokens = bpe.encode(docs, PATH)
+    assert {bytes(r[0]).decode() for r in tokens.select(bpe.decode(tokens["ids"], PATH)).collect()} == {t or "" for _, t in rows}
