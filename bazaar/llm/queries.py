@@ -7,18 +7,36 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaar.llm import bpe
-from bazaar.llm.common import documents
+from bazaar.llm import bpe, decontaminate, fertility, simhash
+from bazaar.llm.common import documents, table
 
 #: Vocabulary files, on every executor.
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), BYTE_RANKS)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality_rules(documents(spark, sf_dir), PIECES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_decontaminate": op4_decontaminate,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_simhash": op7_simhash,
+    "op9_fertility": op9_fertility,
+}
+ORACLE: dict[str, str] = {
+    "op4_decontaminate": decontaminate.SQL,
 }
-ORACLE: dict[str, str] = {}
