@@ -43,7 +43,8 @@ def _small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def sketches(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(item_id, n, shingle) of every distinct shingle, and (item_id, h) of every item's sketch; both written."""
-    rows = items.select("item_id", F.array_distinct(shingle_texts(words(F.col("text")))).alias("s")).where("item_id is not null and s is not null")
+    split = items.select("item_id", words(F.col("text")).alias("w"))  # a column of its own, else every shingle splits the text anew
+    rows = split.select("item_id", F.array_distinct(shingle_texts(F.col("w"))).alias("s")).where("item_id is not null and s is not null")
     per_item = rows.groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"))
     whole = written(per_item.select("item_id", F.size("s").alias("n"), F.explode("s").alias("shingle")), "decontaminate-items")
     hashed = whole.select("item_id", "n", _hash_of_text(F.col("shingle")).alias("h"))
@@ -75,7 +76,8 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     candidates = written(met.join(_small(sketch, n_sketch), "h").select("key", "item_id").distinct(), "decontaminate-candidates")
     wanted = candidates.select("key").distinct()
     again = docs.join(_small(wanted, candidates.count()), "key", "left_semi")
-    shingles = again.select("key", F.explode(F.array_distinct(shingle_texts(words(F.col("text"))))).alias("shingle"))
+    split = again.select("key", words(F.col("text")).alias("w"))
+    shingles = split.select("key", F.explode(F.array_distinct(shingle_texts(F.col("w")))).alias("shingle"))
     shared = shingles.join(_small(whole, n_whole, BROADCAST_ROWS // 10), "shingle").distinct()
     counted = shared.groupBy("key", "item_id", "n").agg(F.count("*").alias("n_shared")).join(candidates, ["key", "item_id"], "left_semi")
     found = counted.where(F.col("n_shared") >= F.col("n") * CONTAINED - 1e-9)
