@@ -161,10 +161,12 @@ def train(docs: DataFrame, labels: DataFrame, table: np.ndarray) -> Network:
             x = pooled(batch["text"].tolist(), table, known)
             yield pd.DataFrame({"x": list(x), "y": batch["y"].astype(float)})
 
-    rows = labelled(docs, labels, "quality", TRAINING_DOCS).mapInPandas(run, "x array<double>, y double").orderBy("x", "y").toPandas()
+    rows = labelled(docs, labels, "quality", TRAINING_DOCS).mapInPandas(run, "x array<double>, y double").toPandas()
     if not len(rows):
         rows = pd.DataFrame({"x": [np.zeros(SIZE + EXTRAS)], "y": [1.0]})
-    return Network(np.stack(rows["x"].to_list()), rows["y"].to_numpy())
+    x, y = np.stack(rows["x"].to_list()), rows["y"].to_numpy()
+    order = np.lexsort((y, *x.T))  # so that no order of tasks shows in the fit
+    return Network(x[order], y[order])
 
 
 def score(docs: DataFrame, table: np.ndarray, network: Network, key: str = "doc_id", text: str = "text") -> DataFrame:

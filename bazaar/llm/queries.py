@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaar.llm import bpe, decontaminate, fertility, html_crf, pii, quality, simhash, suffix_dedup, toxicity
+from bazaar.llm import bpe, compact_windows, decontaminate, fertility, html_crf, pii, quality, simhash, suffix_dedup, toxicity
 from bazaar.llm.common import documents, table
 
 #: Vocabulary files, on every executor.
@@ -43,6 +43,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.report(documents(spark, sf_dir))
+
+
 def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_rules(documents(spark, sf_dir), PIECES)
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_simhash": op7_simhash,
+    "op8_compact_windows": op8_compact_windows,
     "op9_fertility": op9_fertility,
     "op10_quality": op10_quality,
 }

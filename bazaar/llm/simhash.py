@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.llm.common import components, written
@@ -52,6 +52,16 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return rows.mapInPandas(run, f"key {dict(docs.dtypes)[key]}, fp long").withColumnRenamed("key", key)
 
 
+def fingerprint_of(text: str) -> Column:
+    """The fingerprint as 16 hex digits, as a column of the text's own row."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([f"{fingerprint(t or ''):016x}" for t in texts], index=texts.index, dtype=object)
+
+    return run(F.col(text))
+
+
 def join_tries(a: np.ndarray, b: np.ndarray, half_bits: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i, j) of sorted a and b that are ``half_bits`` apart at most in the first half and ``bits`` in all.
 
@@ -167,8 +177,9 @@ def near_links(distinct: DataFrame, n: int) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, fingerprint (16 hex digits), component_id: the smallest key that links of at most BITS differing bits reach.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", group: str | None = None) -> DataFrame:
+    """key, fingerprint (16 hex digits), component_id: the smallest key that links of at most BITS differing bits reach. group
+    names one more column with a number of the component, also for those without a key.
 
     Every row gets a row. Null and empty texts have fingerprint zero and are linked like any other. Keys may repeat; null
     keys stay null and never are a component's id unless it has no other. Other columns are ignored; texts are read whole.
@@ -180,6 +191,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     reach = distinct.join(reach, distinct["fp"] == reach["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     reach = written(reach, "simhash-reach")
     best = reach.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = written(reach.join(best, "component").select("fp", "component_id"), "simhash-components")
+    ids = written(reach.join(best, "component").select("fp", "component_id", *[F.col("component").alias(g) for g in (group,) if g]), "simhash-components")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return marks.join(ids, "fp").select(key, hexed, "component_id")
+    return marks.join(ids, "fp").select(key, hexed, "component_id", *[g for g in (group,) if g])

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
@@ -251,7 +252,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         for batch in batches:
             yield pd.DataFrame([(*reader.features(t), float(y)) for t, y in zip(batch["text"], batch["y"])], columns=[*FEATURES, "y"])
 
-    table = rows.mapInPandas(read, ", ".join(f"{f} double" for f in (*FEATURES, "y"))).orderBy(*FEATURES, "y").toPandas()
+    table = rows.mapInPandas(read, ", ".join(f"{f} double" for f in (*FEATURES, "y"))).toPandas()
+    table = table.sort_values([*FEATURES, "y"])  # so that no order of tasks shows in the sums
     if not len(table):
         return Model(learned, np.array([2.0] + [0.0] * (len(FEATURES) - 1) + [-2.0]))
     return Model(learned, logistic(table[list(FEATURES)].to_numpy(), table["y"].to_numpy()))
@@ -283,6 +285,20 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return rows.mapInPandas(run, f"key {dict(docs.dtypes)[key]}, score double, n_clauses int, worst string").withColumnRenamed("key", key)
 
 
+def probability(model: Model):
+    """From a column of texts that are not null to their scores, in the rows they stand in."""
+    learned, weights = model.learned, model.weights
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        reader = Reader(learned)
+        for texts in batches:
+            z = np.array([np.dot(weights[:-1], reader.features(t)) + weights[-1] for t in texts], float)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+    return run
+
+
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and what the grammar matched, for every document."""
     out = score(docs, train(docs, labels))
