@@ -12,9 +12,18 @@ from bazaar.sources.workspace import new_folder
 
 #: Rows up to which a two-column table of numbers may be broadcast (about 16 bytes a row).
 BROADCAST_ROWS = 1_000_000
+BATCH_ROWS = 1_000
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: Arrow batches of the default 10,000 rows would take tens of MB each, several times over, in the JVM and
+    in Python. The setting is the session's, because it holds when a result is computed."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,10 +32,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage, and a lost executor costs a re-read."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder: it cuts the lineage, and a lost executor costs a re-read.
+
+    The shuffle files behind it go when it is written. By default they stay until the driver's JVM happens to collect what
+    refers to them, which may be long after the disks are full.
+    """
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -2,14 +2,15 @@
 
 Full prefix doubling sorts a rank pair for every byte in every round, dozens of times the input. Here only suffixes that every
 long repeat must contain are sorted: a window of ``LENGTH`` bytes is represented by its anchor, the ``GRAM`` bytes in it with
-the least hash, so equal windows have equal anchors. Ranks are names (128 bits of hash) of growing prefixes around an anchor:
+the least hash, so equal windows have equal anchors. Ranks are names (96 to 128 bits of hash) of growing prefixes around an anchor:
 
-1. GRAM bytes: positions whose name no other document has are unique and leave.
-2. All windows of the anchor together (LENGTH to 2 * LENGTH - GRAM bytes): if a smaller document has this name, all of them
-   repeat; if not, the windows are undecided as far as the anchor's name has other continuations.
-3. LENGTH bytes, the threshold: only for undecided anchors, and only in the smallest document of each name of round 2.
+1. GRAM bytes: positions whose name no other document has are unique and leave. In the same shuffle, where all windows of an
+   anchor together (LENGTH to 2 * LENGTH - GRAM bytes) have the name of a smaller document's, all of them repeat: decided.
+2. HALF more bytes to the left, and HALF more to the right: a window of LENGTH bytes holds one of the two, so an anchor whose
+   both names are unique among the undecided leaves.
+3. LENGTH bytes, the threshold: the windows of what is left, in the smallest document of each name.
 
-Each round is one sort by name; the smallest document of every name decides.
+The smallest document of every name decides.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from bazaar.llm.common import BROADCAST_ROWS, chunks, mix, written
 
 LENGTH, GRAM = 50, 16
 STARTS = LENGTH - GRAM + 1
-CHUNK = 1_000_000
-_TAG = (1 << 24) - 1
+HALF = (LENGTH - GRAM) // 2
+CHUNK = 200_000
+_TAG = (1 << 20) - 1
 
 
 def words_at(data: bytes) -> np.ndarray:
@@ -75,9 +77,19 @@ def range_names(words: np.ndarray, start: np.ndarray, stop: np.ndarray, salt: np
     return out
 
 
+def side_names(words: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """16 bits of the name of the HALF bytes left of each anchor, and 16 of those right of it, in one number.
+
+    Where the anchor's windows do not reach so far, no window holds those bytes and the name is of what they reach.
+    """
+    left = range_names(words, np.maximum(at - HALF, first), at + GRAM, np.full(len(at), 3, np.uint64))
+    right = range_names(words, at, np.minimum(at + GRAM + HALF, last + LENGTH), np.full(len(at), 5, np.uint64))
+    return ((left >> np.uint64(48)) << np.uint64(16) | right >> np.uint64(48)).astype(np.uint32).view(np.int32)
+
+
 def tag(data: bytes) -> int:
     """Tells different texts of one id apart."""
-    return int.from_bytes(hashlib.blake2b(data, digest_size=3).digest(), "little")
+    return int.from_bytes(hashlib.blake2b(data, digest_size=3).digest(), "little") & _TAG
 
 
 def _batches(batches):
@@ -98,8 +110,9 @@ def _sampled(batches):
             {
                 "h": gram_names(words, at).view(np.int64),
                 "u": range_names(words, first, last + LENGTH, where).view(np.int64),
+                "sides": side_names(words, at, first, last),
                 "doc": batch["doc"].to_numpy()[text],
-                "at": (first - begin) << 32 | (last - first) << 24 | tags[text],
+                "at": (first - begin) << 32 | (at - first) << 26 | (last - first) << 20 | tags[text],
             }
         )
 
@@ -120,24 +133,32 @@ def _windows(batches):
         at = start + begin[text[own]]
         first = range_names(words, at, at + LENGTH, np.zeros(len(at), np.uint64))
         yield pd.DataFrame(
-            {"w": first.view(np.int64), "x": range_names(words, at, at + LENGTH, np.ones(len(at), np.uint64)).view(np.int64), "doc": batch["doc"].to_numpy()[text[own]], "at": start << 32 | place[own] & _TAG}
+            {"w": first.view(np.int64), "x": (range_names(words, at, at + LENGTH, np.ones(len(at), np.uint64)) >> np.uint64(33)).astype(np.int32), "doc": batch["doc"].to_numpy()[text[own]], "at": start << 32 | place[own] & _TAG}
         )
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(doc, at): at packs start << 32 | (windows - 1) << 24 | tag; bytes start to start + windows - 1 + LENGTH repeat. Written.
+    """(doc, at): at packs start << 32 | (windows - 1) << 24 | tag of 20 bits; bytes start to start + windows - 1 + LENGTH repeat. Written.
 
     docs: doc (not null), text (not null).
     """
-    rows = docs.mapInPandas(_sampled, "h long, u long, doc long, at long")
-    by_name, by_range = Window.partitionBy("h"), Window.partitionBy("h", "u")
-    ranked = rows.repartition("h").withColumn("least", F.min("doc").over(by_range)).withColumn("lowest", F.min("u").over(by_name)).withColumn("highest", F.max("u").over(by_name))
-    told = ranked.where("least < doc or lowest < highest").select("doc", "at", (F.col("least") < F.col("doc")).alias("repeats"))
+    rows = docs.mapInPandas(_sampled, "h long, u long, sides int, doc long, at long")
+    several = lambda *by: F.min("u").over(Window.partitionBy("h", *by)) < F.max("u").over(Window.partitionBy("h", *by))
+    ranked = rows.repartition("h").withColumn("repeats", F.min("doc").over(Window.partitionBy("h", "u")) < F.col("doc"))
+    ranked = ranked.withColumn("several", several()).where("repeats or several")
+    ranked = ranked.select("h", "u", "doc", "at", "repeats", F.shiftright("sides", 16).alias("left"), F.col("sides").bitwiseAND(65535).alias("right"))
+    ranked = ranked.withColumn("in_left", several("left")).withColumn("in_right", several("right"))
+    start, before, windows = F.shiftright("at", 32), F.shiftright("at", 26).bitwiseAND(63), F.shiftright("at", 20).bitwiseAND(63) + 1
+    # Windows that begin HALF bytes or more before the anchor hold its left side, the others its right side.
+    skip = F.when(F.col("repeats") | F.col("in_left"), F.lit(0)).otherwise(F.greatest(before - HALF + 1, F.lit(0)))
+    some = F.when(F.col("repeats") | F.col("in_right"), windows).otherwise(F.least(before - HALF + 1, windows)) - skip
+    packed = F.shiftleft(start + skip, 32) + F.shiftleft(some - 1, 24) + F.col("at").bitwiseAND(_TAG)
+    told = ranked.where("repeats or in_left or in_right").where(some > 0).select("doc", packed.alias("at"), "repeats")
     told = written(told, "suffix-anchors")
     open_ = told.where("not repeats").groupBy("doc").agg(F.collect_list("at").alias("places"))
     few = told.where("not repeats").count() <= BROADCAST_ROWS // 4
     texts = docs.join(F.broadcast(open_) if few else open_, "doc")
-    last = texts.mapInPandas(_windows, "w long, x long, doc long, at long")
+    last = texts.mapInPandas(_windows, "w long, x int, doc long, at long")
     last = last.repartition("w").withColumn("least", F.min("doc").over(Window.partitionBy("w", "x"))).where("least < doc").select("doc", "at")
     return told.where("repeats").select("doc", "at").union(written(last, "suffix-windows"))
 
