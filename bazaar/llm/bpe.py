@@ -13,7 +13,6 @@ import heapq
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,7 +27,7 @@ WHITE_SPACE = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680,
 NEW_LETTERS = [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)]
 NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
 #: Pieces that a worker keeps merged; beyond it the cache starts anew.
-CACHE = 400_000
+CACHE = 250_000
 CHUNK = 1_000_000
 NONE = 2**31 - 1
 
@@ -141,16 +140,16 @@ class Pairs:
 
 
 class Merger:
-    """Merges pieces by rank, many at a time; results are kept per piece."""
+    """Merges pieces by rank, many at a time; results are kept per piece, as the bytes of 32-bit ids."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pairs = Pairs(self.ranks)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
 
-    def learn(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
         """The cache, which then has all these pieces."""
         new = list(set(pieces).difference(self.cache))
         if len(self.cache) + len(new) > CACHE:
@@ -159,7 +158,7 @@ class Merger:
         for piece in new:
             data = piece.encode()
             if data in self.ranks:
-                self.cache[piece] = (self.ranks[data],)
+                self.cache[piece] = self.ranks[data].to_bytes(4, "little")
             else:
                 by_size.setdefault(min(-(-len(data) // 8) * 8, 72), []).append((piece, data))
         for size, group in by_size.items():
@@ -169,7 +168,7 @@ class Merger:
                 self.cache.update(zip([p for p, _ in some], found))
         return self.cache
 
-    def _short(self, data: list[bytes], size: int) -> list[tuple[int, ...]]:
+    def _short(self, data: list[bytes], size: int) -> list[bytes]:
         """One round merges the best pair of every piece; pieces are rows, padded to ``size`` bytes."""
         n, columns = len(data), np.arange(size)
         lengths = np.array([len(d) for d in data])
@@ -194,10 +193,10 @@ class Merger:
             left = np.flatnonzero(best)
             r[left, best[left] - 1] = self.pairs(t[left, best[left] - 1], joined[left])
             tokens[live], rank[live] = t, r
-        counts = (tokens >= 0).sum(1).tolist()
-        return [tuple(row[:c]) for row, c in zip(tokens.tolist(), counts)]  # tuples of numbers are no work for the garbage collector
+        flat, ends = tokens[tokens >= 0].astype("<i4").tobytes(), np.cumsum(4 * (tokens >= 0).sum(1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _long(self, data: bytes) -> tuple[int, ...]:
+    def _long(self, data: bytes) -> bytes:
         """The same for one piece, with a heap and linked neighbours: n log n at any length."""
         parts: list = [data[i : i + 1] for i in range(len(data))]
         ranks, n = self.ranks, len(parts)
@@ -216,7 +215,7 @@ class Merger:
             for a, b in ((left[i], i), (i, right[i])):
                 if a >= 0 and b < n and (r := ranks.get(parts[a] + parts[b])) is not None:
                     heapq.heappush(heap, (r, a, len(parts[a]) + len(parts[b])))
-        return tuple(ranks[p] for p in parts if p is not None)
+        return np.array([ranks[p] for p in parts if p is not None], "<i4").tobytes()
 
 
 @lru_cache(2)
@@ -244,9 +243,9 @@ def encode_texts(texts: list[str], path: str) -> Iterator[tuple[np.ndarray, np.n
         for i, piece in zip(missing, pieces):
             found[i] = learnt[piece]
         for k, end in enumerate(stop.tolist()):
-            ids = list(chain.from_iterable(found[begin:end]))
+            ids = np.frombuffer(b"".join(found[begin:end]), "<i4")
             offset = 0 if k == 0 else int(ends[k - 1]) + 1
-            yield np.array(ids, np.int32), (starts[begin:end] - offset).astype(np.int32)
+            yield ids, (starts[begin:end] - offset).astype(np.int32)
             begin = end + 1
 
 
@@ -268,6 +267,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 if decoded:
                     frame["decoded"] = [b"".join(map(byte, x[0].tolist())) for x in out]
                 yield pd.DataFrame(frame)
+        merger(path).cache = {}  # an idle worker keeps no more than the vocabulary
 
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -21,7 +21,7 @@ from bazaar.llm.common import chunks, mix
 WHITE, SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 WINDOW, FEWEST, MOST_REPEATED = 5, 10, 20
 #: Words that a worker keeps tokenised; beyond it the cache starts anew.
-CACHE, CHUNK = 300_000, 1_000_000
+CACHE, CHUNK = 200_000, 1_000_000
 
 # Scripts told apart by the first word of a letter's Unicode name, and the band of each measure:
 # characters per token, share of byte tokens, bits of token entropy (for texts of at least LONG tokens; shorter texts cannot
@@ -192,6 +192,7 @@ def quality_rules(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
                 m.insert(0, "key", keys.iloc[first:last].to_numpy())
                 failed = (m["n_words"] < FEWEST) | (100 * m["n_repeat_words"] > MOST_REPEATED * m["n_words"])
                 yield m.assign(base_failed=failed, kept=in_bands(m) & ~failed)
+        words_of(path).clear()  # an idle worker keeps no more than the vocabulary
 
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = dict(docs.dtypes)[key]

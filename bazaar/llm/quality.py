@@ -24,7 +24,7 @@ TOKENS = re.compile(r"\w+|[^\w\s]+")
 #: Labelled documents that may train (a fifth of them sets the temperature), hidden units, passes.
 TRAINING_DOCS, HIDDEN, EPOCHS = 10_000, 32, 60
 RARE = 1e-3
-CHUNK, CACHE = 4_000_000, 500_000
+CHUNK, CACHE = 4_000_000, 200_000
 EXTRAS = 7
 
 

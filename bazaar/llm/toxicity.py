@@ -39,7 +39,7 @@ TOKENS = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 #: this many standard deviations) from which a word beginning is an insult.
 TRAINING_DOCS, LEXICON, SURE, DEVIATIONS = 10_000, 5_000, 0.5, 3.0
 SHORTEST, LONGEST = 3, 7
-CACHE = 400_000
+CACHE = 150_000
 
 
 class Transducer:
