@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaar.llm import bpe, decontaminate, pii, simhash, toxicity
-from bazaar.llm.common import BROADCAST_ROWS, documents, table, written
+from bazaar.llm.common import BROADCAST_ROWS, documents, small_batches, table, written
 from bazaar.llm.queries import BYTE_RANKS
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,6 +23,7 @@ def _without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 
 def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar does not reject (score below 0.5); null and empty texts stay."""
+    small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return docs.where(toxicity.probability(model)(F.coalesce("text", F.lit(""))) < 0.5)
 
@@ -33,6 +34,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Where several rows of a group have that id, or a group has no id at all, one row of it stays, whichever. Null and empty
     texts have one fingerprint and so are one group.
     """
+    small_batches(spark)
     marks = written(simhash.near_duplicates(docs, group="__component"), "pipeline-marks")
     repeated = marks.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     plain = _without(docs.where("doc_id is not null"), repeated.union(marks.where("doc_id <> component_id").select("doc_id")), "doc_id")
@@ -51,6 +53,7 @@ def _row_key() -> Column:
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item (to 0.8 of its five-word shingles)."""
+    small_batches(spark)
     keyed = docs.withColumn("__key", _row_key())
     found = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), key="__key")
     return _without(keyed, found.select("__key"), "__key").select(docs.columns)
@@ -58,11 +61,13 @@ def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; n_chars follows the text."""
+    small_batches(spark)
     return pii.redacted(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document that is left."""
+    small_batches(spark)
     return bpe.digests(docs, BYTE_RANKS)
 
 
