@@ -36,8 +36,9 @@ RAW_SPELLING = {"Discont": "discount"}
 
 TABLES = tuple(RAW_COLUMNS)
 
-# Money is exact: 14 digits before the point fit, and 18 digits in all stay in one machine word.
-PRICE = T.DecimalType(18, 4)
+# Money is exact. Raw values keep ten digits after the point, so that rules see them unrounded, and eighteen before it; dollar
+# values stay in one machine word.
+PRICE = T.DecimalType(28, 10)
 MONEY = T.DecimalType(18, 2)
 
 

@@ -19,10 +19,11 @@ def fx_rate(currency: Column) -> Column:
 
 
 def add_usd_columns(tx: DataFrame) -> DataFrame:
+    """Dollar values in whole cents; one of more than sixteen digits before the point has no value, as without a rate."""
     rate = F.col("fx_rate_to_usd")
     return tx.withColumn("fx_rate_to_usd", fx_rate(F.col("currency"))).withColumns(
         {
-            f"{name}_usd": F.round(F.col(name) * rate, 2).cast(MONEY)
+            f"{name}_usd": F.round(F.col(name) * rate, 2).try_cast(MONEY)
             for name in ("unit_price", "line_total", "invoice_total")
         }
     )

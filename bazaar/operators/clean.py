@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from bazaar.contract import TABLES
 from bazaar.functions.text import null_placeholders, to_day, to_id, to_instant, to_price, to_whole
-from bazaar.operators.dedup import keep_first
+from bazaar.operators.dedup import distinct_rows, keep_first
 from bazaar.operators.outliers import iqr_filter
 
+# The outlier factor of costs, and in the functions below the text columns of each table.
 COST_OUTLIER_FACTOR = 3.0
 
 
@@ -141,7 +142,7 @@ def valid_rows(table: str, raw: DataFrame) -> DataFrame:
 def unique_rows(table: str, raw: DataFrame) -> DataFrame:
     rule = RULES[table]
     rows = valid_rows(table, raw)
-    return keep_first(rows, rule.key, rule.first) if rule.key else rows.distinct()
+    return keep_first(rows, rule.key, rule.first) if rule.key else distinct_rows(rows)
 
 
 def clean(table: str, raw: DataFrame) -> DataFrame:

@@ -21,6 +21,11 @@ def keep_first(df: DataFrame, key: Sequence[str], first: Sequence[str] = ()) ->
     return df.withColumn("_position", F.row_number().over(window)).filter("_position = 1").drop("_position")
 
 
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """Each row once, over all its columns; nulls are equal to each other."""
+    return df.distinct()
+
+
 def duplicated_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their row count."""
     return df.groupBy(*key).agg(F.count("*").alias("rows")).filter("rows > 1")

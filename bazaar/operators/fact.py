@@ -7,6 +7,8 @@ otherwise shuffles both sides, where adaptive execution splits the partitions of
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,30 +17,48 @@ from bazaar.functions.money import add_usd_columns, profit_usd
 from bazaar.operators.promotions import join_active_promos
 
 
-def join_customers(tx: DataFrame, customers: DataFrame) -> DataFrame:
-    named = {c: F.col(c).alias(f"customer_{c}") for c in ("name", "email", "city", "country", "gender", "job_title")}
-    return tx.join(customers.select("customer_id", "date_of_birth", *named.values()), "customer_id", "left")
-
+@dataclass(frozen=True)
+class Dimension:
+    """A clean table that lines refer to: its key, and its columns under the names that they get in the fact."""
 
-def join_products(tx: DataFrame, products: DataFrame) -> DataFrame:
-    attributes = products.select(
-        "product_id",
-        F.col("category").alias("product_category"),
-        F.col("sub_category").alias("product_sub_category"),
-        F.col("description_en").alias("product_description"),
-        "production_cost",
-    )
-    return tx.join(attributes, "product_id", "left")
+    key: str
+    columns: dict[str, str]
 
 
-def join_stores(tx: DataFrame, stores: DataFrame) -> DataFrame:
-    named = [F.col(c).alias(f"store_{c}") for c in ("city", "country", "latitude", "longitude")]
-    return tx.join(stores.select("store_id", "store_name", *named), "store_id", "left")
-
-
-def join_employees(tx: DataFrame, employees: DataFrame) -> DataFrame:
-    named = [F.col(c).alias(f"employee_{c}") for c in ("name", "position")]
-    return tx.join(employees.select("employee_id", *named), "employee_id", "left")
+# The attributes that a line of the fact carries.
+DIMENSIONS = {
+    "customers": Dimension(
+        "customer_id",
+        {
+            "date_of_birth": "date_of_birth",
+            **{c: f"customer_{c}" for c in ("name", "email", "city", "country", "gender", "job_title")},
+        },
+    ),
+    "products": Dimension(
+        "product_id",
+        {
+            "category": "product_category",
+            "sub_category": "product_sub_category",
+            "description_en": "product_description",
+            "production_cost": "production_cost",
+        },
+    ),
+    "stores": Dimension(
+        "store_id",
+        {"store_name": "store_name", **{c: f"store_{c}" for c in ("city", "country", "latitude", "longitude")}},
+    ),
+    "employees": Dimension("employee_id", {c: f"employee_{c}" for c in ("name", "position")}),
+}
+
+
+def join_dimension(tx: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """Lines with the attributes of one dimension. Null and unknown keys keep their line, with null attributes.
+
+    ``rows`` must have each key once, as every clean table does; a repeated key would repeat its lines.
+    """
+    dimension = DIMENSIONS[name]
+    attributes = (F.col(c).alias(new) for c, new in dimension.columns.items())
+    return tx.join(rows.select(dimension.key, *attributes), dimension.key, "left")
 
 
 def add_customer_age(tx: DataFrame) -> DataFrame:
@@ -54,11 +74,11 @@ def build_fact(clean: dict[str, DataFrame], calendar: DataFrame) -> DataFrame:
     return (
         clean["transactions"]
         .transform(add_usd_columns)
-        .transform(join_stores, clean["stores"])
-        .transform(join_employees, clean["employees"])
-        .transform(join_products, clean["products"])
+        .transform(join_dimension, clean["stores"], "stores")
+        .transform(join_dimension, clean["employees"], "employees")
+        .transform(join_dimension, clean["products"], "products")
         .transform(join_active_promos, calendar)
-        .transform(join_customers, clean["customers"])
+        .transform(join_dimension, clean["customers"], "customers")
         .transform(add_customer_age)
         .transform(add_profit)
         .transform(add_date_parts)

@@ -6,6 +6,7 @@ Results leave with decimals as double and dates as text, so that other engines c
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,7 @@ from bazaar.operators import clean, dedup, fact, outliers, promotions
 from bazaar.plans import churn, explore, features, kpi, reports, segments, serving, views
 from bazaar.plans.warehouse import Warehouse, open_warehouse
 from bazaar.sources import adapter
-from bazaar.sources.raw import read_all_landed, read_csv
+from bazaar.sources.raw import read_all_landed, read_csv, read_rejected
 from bazaar.sources.sinks import write_csv
 from bazaar.sources.workspace import new_folder
 from bazaar.streaming.land import land_and_wait
@@ -35,7 +36,7 @@ LINE_KEY = ("invoice_id", "line")
 
 def plain(df: DataFrame) -> DataFrame:
     df = decimals_to_double(df)
-    dated = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType))]
+    dated = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
     return df.withColumns({c: F.col(f"`{c}`").cast("string") for c in dated})
 
 
@@ -61,17 +62,30 @@ def _topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.groupBy("topic").agg(F.count("*").alias("messages"))
 
 
+def _landed(spark: SparkSession, messages: DataFrame) -> str:
+    """Publish messages to files and land them with a stream; the raw zone's folder."""
+    published, raw, checkpoint = (new_folder(spark, name) for name in ("messages", "raw", "stream"))
+    messages.write.parquet(published)
+    land_and_wait(read_message_files(spark, published), raw, checkpoint)
+    return raw
+
+
 def _land_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Publish all tables as messages, land them with a stream, count what arrived per topic."""
-    messages, raw, checkpoint = (new_folder(spark, name) for name in ("messages", "raw", "stream"))
-    all_messages(adapter.raw_tables(spark, sf_dir)).write.parquet(messages)
-    land_and_wait(read_message_files(spark, messages), raw, checkpoint)
-    landed = read_all_landed(spark, raw)
-    counts = [landed[t].agg(F.lit(t).alias("topic"), F.count("*").alias("messages")) for t in TABLES]
-    result = counts[0]
-    for part in counts[1:]:
-        result = result.unionByName(part)
-    return result
+    """Every landed row of all six topics, its values in the order of the columns joined by bars."""
+    landed = read_all_landed(spark, _landed(spark, all_messages(adapter.raw_tables(spark, sf_dir))))
+    value = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit("~"))
+    rows = [landed[t].select(F.lit(t).alias("topic"), F.concat_ws("|", *map(value, landed[t].columns)).alias("row")) for t in TABLES]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _landed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of customers, and for every nation some that are no JSON object; what was set aside."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    good = to_messages(adapter.customers(spark, sf_dir), "customers")
+    wrong = ["%s", '["%s"]', '{"Name":"%s"', '{"Name":"%s"} {"Name":"b"}', '{"Name":"%s"}, {"Name":"b"}', '{"Name":"%s"}xx']
+    values = F.explode(F.array(*(F.format_string(w, "n_name") for w in wrong)))
+    bad = nations.select(F.lit("customers").alias("topic"), values.alias("value"))
+    return read_rejected(spark, _landed(spark, good.unionByName(bad)))
 
 
 # --- cleaning -------------------------------------------------------------------------------------------------------
@@ -90,17 +104,18 @@ def _clean_customers(w: Warehouse) -> DataFrame:
 def _clean_products(w: Warehouse) -> DataFrame:
     rows = clean.clean("products", w.raw("products"))
     return rows.select(
-        "product_id", "category", "sub_category", "description_en", "production_cost",
+        "product_id", "category", "sub_category", "color", "production_cost",
+        *(c for c in rows.columns if c.startswith("description_")),
         F.array_join("sizes", "|").alias("sizes"), F.size("sizes").alias("size_count"),
     )
 
 
 def _clean_stores(w: Warehouse) -> DataFrame:
-    return clean.clean("stores", w.raw("stores")).drop("zip_code")
+    return clean.clean("stores", w.raw("stores"))
 
 
 def _clean_discounts(w: Warehouse) -> DataFrame:
-    return clean.clean("discounts", w.raw("discounts")).drop("description")
+    return clean.clean("discounts", w.raw("discounts"))
 
 
 def _transactions(w: Warehouse) -> DataFrame:
@@ -109,13 +124,13 @@ def _transactions(w: Warehouse) -> DataFrame:
 
 def _dedup_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    return dedup.keep_first(lines.select(*columns), columns[:2])
+    return plain(dedup.keep_first(lines, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]))
 
 
 def _dedup_full_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus").distinct()
+    """Every line twice, over all its columns; the second one goes."""
+    lines = plain(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    return dedup.distinct_rows(lines.unionByName(lines))
 
 
 def _iqr_filter(w: Warehouse) -> DataFrame:
@@ -133,22 +148,22 @@ def _fx_convert(w: Warehouse) -> DataFrame:
 
 def _join_customers(w: Warehouse) -> DataFrame:
     tx = _transactions(w).select(*LINE_KEY, "customer_id")
-    return fact.join_customers(tx, w.clean("customers"))
+    return fact.join_dimension(tx, w.clean("customers"), "customers")
 
 
 def _join_products(w: Warehouse) -> DataFrame:
     tx = _transactions(w).select(*LINE_KEY, "product_id")
-    return fact.join_products(tx, w.clean("products"))
+    return fact.join_dimension(tx, w.clean("products"), "products")
 
 
 def _join_stores(w: Warehouse) -> DataFrame:
     tx = _transactions(w).select(*LINE_KEY, "store_id")
-    return fact.join_stores(tx, w.clean("stores"))
+    return fact.join_dimension(tx, w.clean("stores"), "stores")
 
 
 def _join_employees(w: Warehouse) -> DataFrame:
     tx = _transactions(w).select(*LINE_KEY, "employee_id")
-    return fact.join_employees(tx, w.clean("employees"))
+    return fact.join_dimension(tx, w.clean("employees"), "employees")
 
 
 def _promo_calendar(w: Warehouse) -> DataFrame:
@@ -157,7 +172,7 @@ def _promo_calendar(w: Warehouse) -> DataFrame:
 
 def _lines_with_products(w: Warehouse) -> DataFrame:
     tx = _transactions(w).select(*LINE_KEY, "date", "product_id")
-    return fact.join_products(tx, w.clean("products"))
+    return fact.join_dimension(tx, w.clean("products"), "products")
 
 
 def _promo_columns(df: DataFrame) -> DataFrame:
@@ -175,12 +190,12 @@ def _top1_per_line(w: Warehouse) -> DataFrame:
 
 def _customer_age(w: Warehouse) -> DataFrame:
     tx = _transactions(w).select(*LINE_KEY, "customer_id", "date")
-    aged = fact.add_customer_age(fact.join_customers(tx, w.clean("customers")))
+    aged = fact.add_customer_age(fact.join_dimension(tx, w.clean("customers"), "customers"))
     return aged.select(*LINE_KEY, "customer_id", "customer_age_at_purchase")
 
 
 def _profit(w: Warehouse) -> DataFrame:
-    tx = fact.join_products(add_usd_columns(_transactions(w)), w.clean("products"))
+    tx = fact.join_dimension(add_usd_columns(_transactions(w)), w.clean("products"), "products")
     return fact.add_profit(tx).select(*LINE_KEY, "line_total_usd", "production_cost", "quantity", "profit_usd")
 
 
@@ -257,6 +272,19 @@ def _rule_scores(w: Warehouse) -> DataFrame:
     ).withColumn("risk_level", risk_level(F.col("churn_probability")))
 
 
+def _evaluation_metrics(w: Warehouse) -> DataFrame:
+    """The figures of a model's report, over the rule's predictions."""
+    figures = churn.weighted_metrics(churn.confusion_metrics(_rule_scores(w), prediction="predicted_churn"))
+    return figures.select(*(F.round(c, 9).alias(c) for c in ("f1", "weighted_precision", "weighted_recall", "churn_f1")))
+
+
+def _profile_fixed(w: Warehouse) -> DataFrame:
+    """The profile of segments that a rule makes instead of a fitted model."""
+    rows = _features(w).withColumn("cluster", (F.col("customer_purchase_count") % 3).cast("int"))
+    profile = segments.profile(rows)
+    return profile.select("cluster", "customers", *(F.round(c, 6).alias(c) for c in segments.PROFILE))
+
+
 def _churn_summary(w: Warehouse) -> DataFrame:
     rows = serving.churn_summary(_rule_scores(w))
     return rows.withColumn("average_churn_probability", F.round("average_churn_probability", 9))
@@ -283,6 +311,7 @@ FROM_FOLDER: dict[str, Query] = {
     "ingest_from_json": _from_json,
     "ingest_topic_counts": _topic_counts,
     "stream_land_raw": _land_raw,
+    "raw_landed_rejects": _landed_rejects,
     "dedup_keyed": _dedup_keyed,
     "dedup_full_row": _dedup_full_row,
 }
@@ -325,6 +354,8 @@ FROM_WAREHOUSE: dict[str, Callable[[Warehouse], DataFrame]] = {
     "churn_predictions": lambda w: _churn_models(w, "churn_predictions"),
     "churn_predictions_summary": lambda w: serving.churn_summary(_churn_models(w, "churn_predictions")),
     "risk_band": _rule_scores,
+    "evaluation_metrics": _evaluation_metrics,
+    "segment_profile_fixed": _profile_fixed,
     "confusion_metrics": lambda w: churn.confusion_metrics(_rule_scores(w), prediction="predicted_churn"),
     "serve_customer_analytics": lambda w: serving.customer_analytics(_rule_scores(w)),
     "serve_churn_summary": _churn_summary,
@@ -409,5 +440,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales by category straight from the raw tables: clean, convert, join products, profit, report."""
     w = open_warehouse(spark, sf_dir)
     lines = add_usd_columns(clean.clean("transactions", w.raw("transactions")))
-    joined = fact.add_profit(fact.join_products(lines, clean.clean("products", w.raw("products"))))
+    joined = fact.add_profit(fact.join_dimension(lines, clean.clean("products", w.raw("products")), "products"))
     return plain(reports.by_category(joined))

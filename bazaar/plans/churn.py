@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,19 +116,24 @@ def confusion_metrics(predictions: DataFrame, label: str = LABEL, prediction: st
     ).withColumn("churn_f1", ratio_or_zero(2 * precision * recall, precision + recall))
 
 
+def weighted_metrics(counts: DataFrame) -> DataFrame:
+    """Precision, recall and F1 of both classes, weighted by how often each occurs, from the four counts."""
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    total = tp + fp + fn + tn
+    figures = []
+    for right, wrong, missed in ((tp, fp, fn), (tn, fn, fp)):
+        precision, recall = ratio_or_zero(right, right + wrong), ratio_or_zero(right, right + missed)
+        f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
+        figures.append([x * ratio_or_zero(right + missed, total) for x in (f1, precision, recall)])
+    names = ("f1", "weighted_precision", "weighted_recall")
+    return counts.withColumns({name: a + b for name, a, b in zip(names, *figures)})
+
+
 def evaluate(predictions: DataFrame) -> dict[str, float]:
     """Area under the ROC curve, weighted F1, precision and recall, and the churn class's own figures."""
-    figures = {
-        "roc_auc": BinaryClassificationEvaluator(
-            labelCol=LABEL, rawPredictionCol="rawPrediction", metricName="areaUnderROC"
-        ).evaluate(predictions)
-    }
-    weighted = {"f1": "f1", "weighted_precision": "weightedPrecision", "weighted_recall": "weightedRecall"}
-    for name, metric in weighted.items():
-        evaluator = MulticlassClassificationEvaluator(labelCol=LABEL, predictionCol="prediction", metricName=metric)
-        figures[name] = evaluator.evaluate(predictions)
-    own = confusion_metrics(predictions).first()
-    return figures | {name: own[name] for name in ("churn_precision", "churn_recall", "churn_f1")}
+    area = BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
+    own = weighted_metrics(confusion_metrics(predictions)).drop("tp", "fp", "fn", "tn").first()
+    return {"roc_auc": area.evaluate(predictions), **own.asDict()}
 
 
 @dataclass(frozen=True)

@@ -43,26 +43,26 @@ def negative_profit(fact: DataFrame) -> DataFrame:
     return fact.agg(negative.alias("lines"), ratio(negative, F.count("*")).alias("share"))
 
 
-def negative_profit_lines(fact: DataFrame, n: int = 5) -> DataFrame:
-    """The n largest losses."""
-    return (
+def negative_profit_lines(fact: DataFrame, n: int | None = None) -> DataFrame:
+    """All losses, the largest first; with n, the first n."""
+    rows = (
         fact.filter("profit_usd < 0")
         .select(
             "invoice_id", "line", "product_category", "promo_active", "unit_price_usd", "production_cost", "profit_usd"
         )
         .orderBy("profit_usd", "invoice_id", "line")
-        .limit(n)
     )
+    return rows if n is None else rows.limit(n)
 
 
-def promo_without_discount(fact: DataFrame, n: int = 5) -> DataFrame:
-    """Lines under a promotion that carry no discount of their own."""
-    return (
+def promo_without_discount(fact: DataFrame, n: int | None = None) -> DataFrame:
+    """Lines under a promotion that carry no discount of their own; with n, the first n."""
+    rows = (
         fact.filter(F.col("promo_active") & (F.col("discount") == 0))
         .select("invoice_id", "line", "product_category", "promo_discount_pct", "discount", "line_total_usd")
         .orderBy("invoice_id", "line")
-        .limit(n)
     )
+    return rows if n is None else rows.limit(n)
 
 
 def overall(fact: DataFrame) -> DataFrame:
@@ -85,9 +85,9 @@ def payment_methods(fact: DataFrame) -> DataFrame:
     return largest_first(fact.groupBy(*keys).agg(_revenue(), _lines()), "total_revenue_usd", keys)
 
 
-def months(fact: DataFrame, n: int = 24) -> DataFrame:
+def months(fact: DataFrame) -> DataFrame:
     keys = ["purchase_year", "purchase_month"]
-    return fact.groupBy(*keys).agg(_revenue(), _lines()).orderBy(*keys).limit(n)
+    return fact.groupBy(*keys).agg(_revenue(), _lines()).orderBy(*keys)
 
 
 def weekend(fact: DataFrame) -> DataFrame:
@@ -122,13 +122,13 @@ def ages(fact: DataFrame) -> DataFrame:
     return fact.agg(F.min(age).alias("min_age"), mean_age.alias("avg_age"), F.max(age).alias("max_age"))
 
 
-def implausible_ages(fact: DataFrame, n: int = 10) -> DataFrame:
-    return (
+def implausible_ages(fact: DataFrame, n: int | None = None) -> DataFrame:
+    rows = (
         fact.filter(~F.col("customer_age_at_purchase").between(LOWEST_AGE, HIGHEST_AGE))
         .select("customer_id", "date_of_birth", "date", "customer_age_at_purchase", "invoice_id", "line")
         .orderBy("customer_id", "date", "invoice_id", "line")
-        .limit(n)
     )
+    return rows if n is None else rows.limit(n)
 
 
 def top_customers(fact: DataFrame, n: int = 10) -> DataFrame:

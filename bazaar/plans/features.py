@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -89,11 +89,17 @@ def category_index(features: DataFrame) -> DataFrame:
 
 
 def with_codes(features: DataFrame) -> DataFrame:
-    """Features and their codes; a null or unknown value gets the code after the last one."""
-    indexer = StringIndexer(
-        inputCols=list(CODED_COLUMNS), outputCols=list(CODED_COLUMNS.values()), handleInvalid="keep"
-    )
-    return indexer.fit(features).transform(features)
+    """Features and their codes; a null value gets the code after the last one.
+
+    The codes are joined, so no list of distinct values passes through the driver.
+    """
+    index, rows = category_index(features), features
+    for column, code in CODED_COLUMNS.items():
+        own = index.filter(F.col("column_name") == column)
+        codes = own.select(F.col("value").alias(column), F.col("index").cast("double").alias(code))
+        after = own.agg(F.count("*").cast("double")).scalar()
+        rows = rows.join(codes, column, "left").withColumn(code, F.coalesce(code, after))
+    return rows.select(*features.columns, *CODED_COLUMNS.values())
 
 
 def scaler_pipeline(columns: tuple[str, ...], handle_invalid: str) -> Pipeline:

@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from bazaar.functions.bands import day_type, discount_range, discount_range_as_written
 from bazaar.functions.money import mean, total
 
-# Fixed value: most rows a report hands to a client.
-MAX_ROWS = 5_000
-
-
 def revenue() -> Column:
     return total("line_total_usd").alias("revenue_usd")
 
@@ -43,14 +39,26 @@ def by_revenue(fact: DataFrame, keys: Sequence[str], *measures: Column) -> DataF
     return largest_first(fact.groupBy(*keys).agg(*measures), "revenue_usd", keys)
 
 
-def overview(fact: DataFrame, distinct: Callable[[str], Column] = F.count_distinct) -> DataFrame:
+def with_distinct(
+    one_row: DataFrame, fact: DataFrame, columns: dict[str, str], distinct: Callable[[str], Column] | None = None
+) -> DataFrame:
+    """one_row and the distinct counts of columns of the fact.
+
+    Each is exact and comes from a grouping of its own column: several in one aggregate would repeat every line for each of
+    them. With ``distinct`` it is that aggregate of the column instead.
+    """
+
+    def counted(c: str) -> Column:
+        values = fact.select(c).filter(F.col(c).isNotNull()).distinct()
+        return (fact.agg(distinct(c)) if distinct else values.agg(F.count("*"))).scalar()
+
+    return one_row.select("*", *(counted(c).alias(name) for name, c in columns.items()))
+
+
+def overview(fact: DataFrame, distinct: Callable[[str], Column] | None = None) -> DataFrame:
     """Exact by default; ``F.approx_count_distinct`` answers from sketches, without shuffling the ids."""
-    return fact.agg(
-        F.count("*").alias("total_transactions"),
-        distinct("invoice_id").alias("total_invoices"),
-        distinct("customer_id").alias("total_customers"),
-        distinct("product_id").alias("total_products"),
-    )
+    columns = {"total_invoices": "invoice_id", "total_customers": "customer_id", "total_products": "product_id"}
+    return with_distinct(fact.agg(F.count("*").alias("total_transactions")), fact, columns, distinct)
 
 
 def sales_profit(fact: DataFrame) -> DataFrame:
@@ -149,12 +157,13 @@ REPORTS = {
 }
 
 
-def report(fact: DataFrame, name: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """One report by name, at most ``max_rows`` rows of it."""
+def report(fact: DataFrame, name: str, max_rows: int | None = None) -> DataFrame:
+    """One report by name; with ``max_rows``, at most so many rows of it."""
     if name not in REPORTS:
         raise KeyError(f"no report {name!r}; there are {', '.join(REPORTS)}")
-    return REPORTS[name].make(fact).limit(max_rows)
+    rows = REPORTS[name].make(fact)
+    return rows if max_rows is None else rows.limit(max_rows)
 
 
-def all_reports(fact: DataFrame, max_rows: int = MAX_ROWS) -> dict[str, DataFrame]:
+def all_reports(fact: DataFrame, max_rows: int | None = None) -> dict[str, DataFrame]:
     return {name: report(fact, name, max_rows) for name in REPORTS}

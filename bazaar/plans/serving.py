@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bazaar.functions.bands import LOWEST_RISK, RISK_LEVELS, churn_name
 from bazaar.functions.money import ratio_or_zero
+from bazaar.plans.reports import with_distinct
 
 # Lengths of the two customer lists.
 HIGH_RISK_ROWS = 100
@@ -20,16 +21,15 @@ def _sum_or_zero(name: str) -> Column:
 
 
 def summary(fact: DataFrame) -> DataFrame:
-    revenue, profit, orders = _sum_or_zero("line_total_usd"), _sum_or_zero("profit_usd"), F.count_distinct("invoice_id")
-    return fact.agg(
+    revenue, profit = _sum_or_zero("line_total_usd"), _sum_or_zero("profit_usd")
+    sums = fact.agg(
         F.count("*").alias("total_transactions"),
         revenue.cast("double").alias("total_revenue"),
         profit.cast("double").alias("total_profit"),
         ratio_or_zero(profit, revenue).alias("profit_margin"),
-        F.count_distinct("customer_id").alias("unique_customers"),
-        orders.alias("unique_orders"),
-        ratio_or_zero(revenue, orders).alias("average_order_value"),
     )
+    counted = with_distinct(sums, fact, {"unique_customers": "customer_id", "unique_orders": "invoice_id"})
+    return counted.withColumn("average_order_value", ratio_or_zero(F.col("total_revenue"), F.col("unique_orders")))
 
 
 def _level_counts() -> dict[str, Column]:

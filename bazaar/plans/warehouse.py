@@ -75,6 +75,12 @@ class Warehouse:
         self.prepare()
         return build_fact({t: self.clean(t) for t in TABLES}, self.calendar())
 
+    def close(self) -> None:
+        """Remove every table that was written; whoever still reads one fails, and the next use writes anew."""
+        self._written.clear()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def fact(self) -> DataFrame:
         return self.table("fact_transactions", self.build_fact, write_fact)
 
@@ -83,9 +89,16 @@ _open: dict[tuple[str, str], Warehouse] = {}
 
 
 def open_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    """The warehouse over the star schema in ``sf_dir``; one per Spark application and folder."""
+    """The warehouse over the star schema in ``sf_dir``; one per Spark application and folder, until ``close_warehouse``."""
     where = (spark.sparkContext.applicationId, sf_dir)
     if where not in _open:
         raw = {name: to_snake(df) for name, df in adapter.raw_tables(spark, sf_dir).items()}
         _open[where] = Warehouse(spark, raw, new_folder(spark, "warehouse"), land=("transactions",))
     return _open[where]
+
+
+def close_warehouse(spark: SparkSession, sf_dir: str) -> None:
+    """Forget the warehouse over ``sf_dir`` and remove its tables."""
+    warehouse = _open.pop((spark.sparkContext.applicationId, sf_dir), None)
+    if warehouse:
+        warehouse.close()

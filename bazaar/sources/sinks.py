@@ -26,8 +26,11 @@ def write_fact(fact: DataFrame, path: str) -> None:
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """Features, segments, predictions and other unpartitioned results."""
-    df.hint("rebalance").write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+    """Features, segments, predictions and other unpartitioned results.
+
+    Rows stay where the last exchange put them; adaptive execution has put its small partitions together.
+    """
+    write_rows(df, path)
 
 
 def write_rows(df: DataFrame, path: str) -> None:

@@ -8,6 +8,10 @@ from __future__ import annotations
 
 import re
 
+DESCRIPTIONS = [f"description_{x}" for x in ("pt", "de", "fr", "es", "en", "zh")]
+TEXT_VALUE = "CASE WHEN upper(trim({0})) NOT IN ('', 'NAN', 'NONE', 'NULL') THEN trim({0}) END"
+TEXT = TEXT_VALUE + " AS {0}"
+
 # One raw table per block, all columns text, as in the landed messages.
 CTES = {
     "raw_transactions": """
@@ -21,13 +25,15 @@ CTES = {
                     * CAST(0.01 AS DECIMAL(2,2)) AS VARCHAR) AS unit_price,
                CASE WHEN l_orderkey % 97 = 0 THEN 'NULL' WHEN l_orderkey % 89 = 0 THEN '-1'
                     ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS quantity,
-               strftime(o_orderdate, '%Y-%m-%d') || ' 10:00:00' AS date,
+               CASE WHEN l_orderkey % 79 = 0 THEN 'some day'
+                    ELSE strftime(o_orderdate, '%Y-%m-%d') || ' 10:00:00' END AS date,
                CASE WHEN l_orderkey % 83 = 0 THEN '1.5'
                     ELSE CAST(CAST(l_discount AS DECIMAL(4,2)) AS VARCHAR) END AS discount,
                CAST(round(CAST(l_extendedprice AS DECIMAL(12,2))
                     * (CAST(1 AS DECIMAL(3,2)) - CAST(l_discount AS DECIMAL(4,2))), 2) AS VARCHAR) AS line_total,
-               CAST(l_suppkey AS VARCHAR) AS store_id,
-               CAST(l_suppkey * 10 + l_orderkey % 10 AS VARCHAR) AS employee_id,
+               CASE WHEN l_orderkey % 71 = 0 THEN 'none' ELSE CAST(l_suppkey AS VARCHAR) END AS store_id,
+               CASE WHEN l_orderkey % 73 = 0 THEN '' WHEN l_orderkey % 67 = 0 THEN '999999999999'
+                    ELSE CAST(l_suppkey * 10 + l_orderkey % 10 AS VARCHAR) END AS employee_id,
                CASE s_nationkey % 5 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'GBP' WHEN 3 THEN 'CNY'
                     ELSE 'JPY' END AS currency,
                CASE s_nationkey % 5 WHEN 0 THEN '$' WHEN 1 THEN '€' WHEN 2 THEN '£' ELSE '¥' END AS currency_symbol,
@@ -36,39 +42,71 @@ CTES = {
                CASE WHEN l_orderkey % 7 = 0 THEN ' none ' ELSE o_orderpriority END AS payment_method,
                CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) AS invoice_total
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey""",
-    "raw_customers": """
+    "made_customers": """
         SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_name AS name,
                CASE WHEN c_custkey % 13 = 0 THEN 'null' ELSE ' USER' || c_custkey || '@Example.COM ' END AS email,
-               CAST(NULL AS VARCHAR) AS telephone, n_name AS city, r_name AS country,
+               CASE WHEN c_custkey % 17 = 0 THEN 'NaN' ELSE '+1 555 ' || c_custkey END AS telephone,
+               n_name AS city, r_name AS country,
                CASE WHEN c_mktsegment IN ('FURNITURE', 'BUILDING') THEN 'F'
                     WHEN c_mktsegment IN ('MACHINERY', 'HOUSEHOLD') THEN 'M' ELSE 'D' END AS gender,
-               CASE WHEN c_custkey % 11 <> 0
+               CASE WHEN c_custkey % 101 = 0 THEN '2031-05-05' WHEN c_custkey % 11 <> 0
                     THEN CAST(DATE '1940-01-01' + CAST((c_custkey * 7919) % 20000 AS INTEGER) AS VARCHAR)
                END AS date_of_birth,
-               CAST(NULL AS VARCHAR) AS job_title
+               CASE WHEN c_custkey % 19 = 0 THEN ' ' ELSE 'Job ' || c_custkey % 9 END AS job_title
         FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
-    "raw_products": """
+    "raw_customers": """
+        SELECT * FROM made_customers
+        UNION ALL SELECT * REPLACE ('zz ' || name AS name) FROM made_customers WHERE CAST(customer_id AS BIGINT) % 50 = 0
+        UNION ALL SELECT * REPLACE ('n/a' AS customer_id) FROM made_customers WHERE CAST(customer_id AS BIGINT) % 60 = 0""",
+    "made_products": """
         SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_type AS category, p_brand AS sub_category,
-               p_name AS description_en, 'S|M|L' AS sizes,
-               CAST(round(CAST(p_retailprice AS DECIMAL(15,2)) * CAST(0.5 AS DECIMAL(2,1)), 2) AS VARCHAR)
-                   AS production_cost
+               'PT ' || p_name AS description_pt, 'DE ' || p_name AS description_de, 'FR ' || p_name AS description_fr,
+               'ES ' || p_name AS description_es, p_name AS description_en, 'ZH ' || p_name AS description_zh,
+               CASE WHEN p_partkey % 23 = 0 THEN 'none' ELSE 'Color ' || p_partkey % 7 END AS color, 'S|M|L' AS sizes,
+               CASE WHEN p_partkey % 211 = 0 THEN '999999.99' WHEN p_partkey % 307 = 0 THEN 'NaN'
+                    WHEN p_partkey % 401 = 0 THEN '-5'
+                    ELSE CAST(round(CAST(p_retailprice AS DECIMAL(15,2)) * CAST(0.5 AS DECIMAL(2,1)), 2) AS VARCHAR)
+               END AS production_cost
         FROM part""",
-    "raw_stores": """
+    "raw_products": """
+        SELECT * FROM made_products
+        UNION ALL SELECT * REPLACE ('zz ' || category AS category) FROM made_products
+        WHERE CAST(product_id AS BIGINT) % 97 = 0
+        UNION ALL SELECT * REPLACE ('' AS product_id) FROM made_products WHERE CAST(product_id AS BIGINT) % 103 = 0""",
+    "made_stores": """
         SELECT CAST(s_suppkey AS VARCHAR) AS store_id, n_name AS country, 'City_' || s_nationkey AS city,
                s_name AS store_name, '10' AS number_of_employees,
-               CAST(s_nationkey * 3 - 40 AS VARCHAR) AS latitude, CAST(s_nationkey * 10 - 120 AS VARCHAR) AS longitude
+               CASE WHEN s_suppkey % 7 = 0 THEN 'null' ELSE 'Z' || s_suppkey END AS zip_code,
+               CASE WHEN s_suppkey % 33 = 0 THEN '95' ELSE CAST(s_nationkey * 3 - 40 AS VARCHAR) END AS latitude,
+               CAST(s_nationkey * 10 - 120 AS VARCHAR) AS longitude
         FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
-    "raw_employees": """
-        SELECT CAST(s_suppkey * 10 + k AS VARCHAR) AS employee_id, CAST(s_suppkey AS VARCHAR) AS store_id,
+    "raw_stores": """
+        SELECT * FROM made_stores
+        UNION ALL SELECT * REPLACE ('zz ' || store_name AS store_name) FROM made_stores
+        WHERE CAST(store_id AS BIGINT) % 5 = 0
+        UNION ALL SELECT * REPLACE ('none' AS store_id) FROM made_stores WHERE CAST(store_id AS BIGINT) % 10 = 0""",
+    "made_employees": """
+        SELECT CAST(s_suppkey * 10 + k AS VARCHAR) AS employee_id,
+               CASE WHEN (s_suppkey * 10 + k) % 41 = 0 THEN '?' ELSE CAST(s_suppkey AS VARCHAR) END AS store_id,
                'Emp_' || (s_suppkey * 10 + k) AS name, CASE WHEN k = 0 THEN 'Manager' ELSE 'Seller' END AS position
         FROM supplier, unnest(range(10)) AS u(k)""",
-    "raw_discounts": """
+    "raw_employees": """
+        SELECT * FROM made_employees
+        UNION ALL SELECT * REPLACE ('zz ' || name AS name) FROM made_employees WHERE CAST(employee_id AS BIGINT) % 53 = 0
+        UNION ALL SELECT * REPLACE ('nan' AS employee_id) FROM made_employees WHERE CAST(employee_id AS BIGINT) % 59 = 0""",
+    "made_discounts": """
         SELECT CAST(make_date(1995 + k, 1 + m, 1) AS VARCHAR) AS "start",
                CAST(make_date(1995 + k, 2 + m, 15) AS VARCHAR) AS "end",
                CAST(CAST((k + m) % 6 * 5 + 10 AS DECIMAL(3,0)) * CAST(0.01 AS DECIMAL(2,2)) AS VARCHAR) AS discount,
-               p_type AS category, p_brand AS sub_category
+               'Offer ' || k || '/' || m AS description, p_type AS category, p_brand AS sub_category
         FROM (SELECT DISTINCT p_type, p_brand FROM part WHERE p_brand LIKE '%1%') AS brands,
              unnest([0, 2, 4]) AS a(k), unnest([0, 1, 5, 6]) AS b(m)""",
+    "raw_discounts": """
+        SELECT * FROM made_discounts
+        UNION ALL SELECT * FROM made_discounts WHERE description = 'Offer 0/1'
+        UNION ALL SELECT * REPLACE ('1990-01-01' AS "end") FROM made_discounts WHERE description = 'Offer 2/0'
+        UNION ALL SELECT * REPLACE ('1.00004' AS discount) FROM made_discounts WHERE description = 'Offer 4/5'
+        UNION ALL SELECT * REPLACE ('NULL' AS "start") FROM made_discounts WHERE description = 'Offer 4/6'""",
     "typed_transactions": """
         SELECT invoice_id, TRY_CAST(line AS INTEGER) AS line, TRY_CAST(customer_id AS BIGINT) AS customer_id,
                CAST(trunc(TRY_CAST(product_id AS DECIMAL(38,6))) AS BIGINT) AS product_id, size,
@@ -88,19 +126,22 @@ CTES = {
         QUALIFY row_number() OVER (
             PARTITION BY invoice_id, line
             ORDER BY product_id NULLS FIRST, store_id NULLS FIRST, line_total NULLS FIRST, unit_price NULLS FIRST) = 1""",
+    "typed_customers": f"""
+        SELECT TRY_CAST(customer_id AS BIGINT) AS customer_id,
+               {', '.join(TEXT.format(c) for c in ('name', 'telephone', 'city', 'country', 'gender', 'job_title'))},
+               lower({TEXT_VALUE.format('email')}) AS email,
+               CAST(try_strptime(date_of_birth, '%Y-%m-%d') AS DATE) AS date_of_birth
+        FROM raw_customers""",
     "customers": """
-        SELECT CAST(customer_id AS BIGINT) AS customer_id, name,
-               CASE WHEN upper(trim(email)) NOT IN ('', 'NAN', 'NONE', 'NULL') THEN lower(trim(email)) END AS email,
-               telephone, city, country, gender, CAST(try_strptime(date_of_birth, '%Y-%m-%d') AS DATE) AS date_of_birth,
-               job_title
-        FROM raw_customers
-        WHERE customer_id IS NOT NULL
+        SELECT * FROM typed_customers WHERE customer_id IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY name) = 1""",
+    "typed_products": f"""
+        SELECT TRY_CAST(product_id AS BIGINT) AS product_id,
+               {', '.join(TEXT.format(c) for c in ('category', 'sub_category', 'color', 'sizes', *DESCRIPTIONS))},
+               TRY_CAST(production_cost AS DECIMAL(38,10)) AS production_cost
+        FROM raw_products""",
     "unfiltered_products": """
-        SELECT CAST(product_id AS BIGINT) AS product_id, category, sub_category, description_en,
-               CAST(production_cost AS DECIMAL(18,4)) AS production_cost
-        FROM raw_products
-        WHERE CAST(production_cost AS DECIMAL(18,4)) >= 0
+        SELECT * FROM typed_products WHERE product_id IS NOT NULL AND production_cost >= 0
         QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY category, sub_category, description_en) = 1""",
     "cost_quartiles": """
         SELECT CAST(quantile_disc(production_cost, 0.25) AS DOUBLE) AS q1,
@@ -109,20 +150,31 @@ CTES = {
     "products": """
         SELECT p.* FROM unfiltered_products p, cost_quartiles
         WHERE CAST(production_cost AS DOUBLE) BETWEEN q1 - 3 * (q3 - q1) AND q3 + 3 * (q3 - q1)""",
+    "typed_stores": f"""
+        SELECT TRY_CAST(store_id AS BIGINT) AS store_id,
+               {', '.join(TEXT.format(c) for c in ('country', 'city', 'store_name', 'zip_code'))},
+               TRY_CAST(number_of_employees AS INTEGER) AS number_of_employees,
+               TRY_CAST(latitude AS DOUBLE) AS latitude, TRY_CAST(longitude AS DOUBLE) AS longitude
+        FROM raw_stores""",
     "stores": """
-        SELECT CAST(store_id AS BIGINT) AS store_id, country, city, store_name,
-               CAST(number_of_employees AS INTEGER) AS number_of_employees,
-               CAST(latitude AS DOUBLE) AS latitude, CAST(longitude AS DOUBLE) AS longitude
-        FROM raw_stores
-        WHERE CAST(latitude AS DOUBLE) BETWEEN -90 AND 90 AND CAST(longitude AS DOUBLE) BETWEEN -180 AND 180""",
-    "employees": """
-        SELECT CAST(employee_id AS BIGINT) AS employee_id, CAST(store_id AS BIGINT) AS store_id, name, position
+        SELECT * FROM typed_stores
+        WHERE store_id IS NOT NULL AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180
+        QUALIFY row_number() OVER (PARTITION BY store_id ORDER BY country, city, store_name) = 1""",
+    "typed_employees": f"""
+        SELECT TRY_CAST(employee_id AS BIGINT) AS employee_id, TRY_CAST(store_id AS BIGINT) AS store_id,
+               {', '.join(TEXT.format(c) for c in ('name', 'position'))}
         FROM raw_employees""",
+    "employees": """
+        SELECT * FROM typed_employees WHERE employee_id IS NOT NULL AND store_id IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY employee_id ORDER BY store_id, name) = 1""",
+    "typed_discounts": f"""
+        SELECT CAST(try_strptime("start", '%Y-%m-%d') AS DATE) AS "start",
+               CAST(try_strptime("end", '%Y-%m-%d') AS DATE) AS "end",
+               TRY_CAST(discount AS DECIMAL(38,10)) AS discount,
+               {', '.join(TEXT.format(c) for c in ('description', 'category', 'sub_category'))}
+        FROM raw_discounts""",
     "discounts": """
-        SELECT DISTINCT CAST("start" AS DATE) AS "start", CAST("end" AS DATE) AS "end",
-               CAST(discount AS DECIMAL(18,4)) AS discount, category, sub_category
-        FROM raw_discounts
-        WHERE CAST("end" AS DATE) >= CAST("start" AS DATE) AND CAST(discount AS DECIMAL(18,4)) BETWEEN 0 AND 1""",
+        SELECT DISTINCT * FROM typed_discounts WHERE "end" >= "start" AND discount BETWEEN 0 AND 1""",
     "promos": """
         SELECT t.invoice_id, t.line, max(d.discount) AS promo_discount_pct
         FROM transactions t JOIN products p USING (product_id)
@@ -332,6 +384,24 @@ TOPIC_COUNTS = sql(
 )
 
 
+RAW_ORDER = {
+    "customers": "customer_id name email telephone city country gender date_of_birth job_title",
+    "products": "product_id category sub_category description_pt description_de description_fr description_es "
+                "description_en description_zh color sizes production_cost",
+    "stores": "store_id country city store_name number_of_employees zip_code latitude longitude",
+    "employees": "employee_id store_id name position",
+    "discounts": '"start" "end" discount description category sub_category',
+    "transactions": RAW_TRANSACTION.replace(",", ""),
+}
+LANDED_ROWS = sql(
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS topic, {' || chr(124) || '.join(f'coalesce({c}, chr(126))' for c in RAW_ORDER[t].split())} AS row "
+        f"FROM raw_{t}"
+        for t in TABLES
+    )
+)
+
+
 def _quality(table: str, before: str, after: str, no_id: str, rule: str, duplicates: str, outliers: str = "0") -> str:
     return (
         f"SELECT '{table}' AS table_name, ({before}) AS rows_before, ({after}) AS rows_after, "
@@ -343,31 +413,28 @@ def _quality(table: str, before: str, after: str, no_id: str, rule: str, duplica
 
 def _quality_report() -> str:
     count = "SELECT count(*) FROM "
-    ok = (
-        "coalesce(discount BETWEEN 0 AND 1 AND quantity > 0 AND unit_price >= 0 AND line_total >= 0, false)"
-    )
-    ids = "invoice_id IS NOT NULL AND customer_id IS NOT NULL AND product_id IS NOT NULL"
-    parts = [
-        _quality(t, f"{count} raw_{t}", f"{count} {t}", "0", "0", f"({count} raw_{t}) - ({count} {t})")
-        for t in ("customers", "employees", "discounts")
-    ]
-    parts.append(
-        _quality("stores", f"{count} raw_stores", f"{count} stores", "0",
-                 f"({count} raw_stores) - ({count} stores)", "0")
-    )
-    parts.append(
-        _quality("products", f"{count} raw_products", f"{count} products", "0", "0",
-                 f"({count} raw_products) - ({count} unfiltered_products)",
-                 f"({count} unfiltered_products) - ({count} products)")
-    )
-    parts.append(
-        _quality(
-            "transactions", f"{count} raw_transactions", f"{count} transactions",
-            f"{count} typed_transactions WHERE NOT ({ids})",
-            f"{count} typed_transactions WHERE {ids} AND NOT {ok}",
-            f"({count} typed_transactions WHERE {ids} AND {ok}) - ({count} transactions)",
+    rules = {
+        "customers": ("customer_id IS NOT NULL", "true"),
+        "products": ("product_id IS NOT NULL", "production_cost >= 0"),
+        "stores": ("store_id IS NOT NULL", "latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180"),
+        "employees": ("employee_id IS NOT NULL AND store_id IS NOT NULL", "true"),
+        "discounts": ("true", '"end" >= "start" AND discount BETWEEN 0 AND 1'),
+        "transactions": (
+            "invoice_id IS NOT NULL AND customer_id IS NOT NULL AND product_id IS NOT NULL",
+            "discount BETWEEN 0 AND 1 AND quantity > 0 AND unit_price >= 0 AND line_total >= 0",
+        ),
+    }
+    parts = []
+    for t, (ids, rule) in rules.items():
+        unique = "unfiltered_products" if t == "products" else t
+        parts.append(
+            _quality(
+                t, f"{count} raw_{t}", f"{count} {t}", f"{count} typed_{t} WHERE NOT ({ids})",
+                f"{count} typed_{t} WHERE {ids} AND NOT coalesce({rule}, false)",
+                f"({count} typed_{t} WHERE {ids} AND coalesce({rule}, false)) - ({count} {unique})",
+                f"({count} {unique}) - ({count} {t})",
+            )
         )
-    )
     return sql(" UNION ALL ".join(parts))
 
 
@@ -390,7 +457,10 @@ ORACLE = {
                           "FROM raw_transactions"),
     "ingest_from_json": sql(f"SELECT {RAW_TRANSACTION} FROM raw_transactions"),
     "ingest_topic_counts": TOPIC_COUNTS,
-    "stream_land_raw": TOPIC_COUNTS,
+    "stream_land_raw": LANDED_ROWS,
+    "raw_landed_rejects": """SELECT 'customers' AS topic, replace(w, '%s', n_name) AS value FROM nation, unnest([
+        '%s', '["%s"]', '{"Name":"%s"', '{"Name":"%s"} {"Name":"b"}', '{"Name":"%s"}, {"Name":"b"}', '{"Name":"%s"}xx'
+        ]) AS u(w)""",
     # cleaning
     "null_placeholders": sql(
         "SELECT invoice_id, line, product_id, store_id, line_total, "
@@ -399,22 +469,23 @@ ORACLE = {
     ),
     "clean_customers": sql(f"SELECT {plain('customer_id name email telephone city country gender date_of_birth job_title')}"
                            " FROM customers"),
-    "clean_products": sql(f"SELECT {plain('product_id category sub_category description_en production_cost')}, "
-                          "'S|M|L' AS sizes, 3 AS size_count FROM products"),
-    "clean_stores": sql("SELECT store_id, country, city, store_name, number_of_employees, latitude, longitude FROM stores"),
+    "clean_products": sql(f"SELECT {plain('product_id category sub_category color production_cost sizes')}, "
+                          f"{', '.join(DESCRIPTIONS)}, 3 AS size_count FROM products"),
+    "clean_stores": sql("SELECT store_id, country, city, store_name, number_of_employees, zip_code, latitude, longitude "
+                        "FROM stores"),
     "clean_employees": sql("SELECT employee_id, store_id, name, position FROM employees"),
-    "clean_discounts": sql('SELECT CAST("start" AS VARCHAR) AS "start", CAST("end" AS VARCHAR) AS "end", '
+    "clean_discounts": sql('SELECT CAST("start" AS VARCHAR) AS "start", CAST("end" AS VARCHAR) AS "end", description, '
                            "CAST(discount AS DOUBLE) AS discount, category, sub_category FROM discounts"),
     "clean_transactions": sql(f"SELECT {plain(FACT_COLUMNS[:19])} FROM transactions"),
     "clean_quality_report": _quality_report(),
     "unconverted_currencies": sql("SELECT currency, count(*) AS lines FROM fact WHERE fx_rate_to_usd IS NULL GROUP BY ALL"),
     "dedup_keyed": sql(
-        """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem
+        """SELECT * REPLACE (CAST(l_shipdate AS VARCHAR) AS l_shipdate) FROM lineitem
            QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
                ORDER BY l_partkey NULLS FIRST, l_suppkey NULLS FIRST, l_quantity NULLS FIRST,
                         l_extendedprice NULLS FIRST) = 1"""
     ),
-    "dedup_full_row": sql("SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem"),
+    "dedup_full_row": sql("""SELECT DISTINCT * REPLACE (CAST(l_shipdate AS VARCHAR) AS l_shipdate) FROM lineitem"""),
     "iqr_filter": sql("""SELECT product_id, CAST(production_cost AS DOUBLE) AS production_cost
         FROM unfiltered_products, cost_quartiles
         WHERE CAST(production_cost AS DOUBLE) BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)"""),
@@ -495,17 +566,16 @@ ORACLE = {
         {quotient('count(*) FILTER (profit_usd < 0)', 'count(*)')} AS share FROM fact"""),
     "exp_negative_profit_lines": sql(f"""SELECT {plain(KEY + ' product_category promo_active unit_price_usd '
         'production_cost profit_usd')} FROM (SELECT * FROM fact WHERE profit_usd < 0
-        ORDER BY profit_usd, invoice_id, line LIMIT 5) AS f"""),
+        ORDER BY profit_usd, invoice_id, line) AS f"""),
     "exp_promo_no_discount": sql(f"""SELECT {plain(KEY + ' product_category promo_discount_pct discount '
         'line_total_usd')} FROM (SELECT * FROM fact WHERE promo_active AND discount = 0
-        ORDER BY invoice_id, line LIMIT 5) AS f"""),
+        ORDER BY invoice_id, line) AS f"""),
     "exp_overall": sql(f"""SELECT {total('line_total_usd')} AS total_revenue, {total('profit_usd')} AS total_profit,
         {mean('line_total_usd')} AS avg_line_value, count(*) AS line_items, count(DISTINCT invoice_id) AS invoices
         FROM fact"""),
     "exp_store_country": grouped("store_country", f"{EXP_REVENUE}, {EXP_PROFIT}, {LINES}"),
     "exp_payment_method": grouped("payment_method", f"{EXP_REVENUE}, {LINES}"),
-    "exp_by_month": grouped("purchase_year, purchase_month", f"{EXP_REVENUE}, {LINES}",
-                            "ORDER BY purchase_year NULLS FIRST, purchase_month NULLS FIRST LIMIT 24"),
+    "exp_by_month": grouped("purchase_year, purchase_month", f"{EXP_REVENUE}, {LINES}"),
     "exp_weekend": grouped("is_weekend", f"{EXP_REVENUE}, {EXP_AVERAGE}, {LINES}"),
     "exp_categories": sql("SELECT DISTINCT product_category FROM fact"),
     "exp_top_subcategories": grouped("product_category, product_sub_category", f"{EXP_REVENUE}, count(*) AS units_sold",
@@ -517,7 +587,7 @@ ORACLE = {
         max(customer_age_at_purchase) AS max_age FROM fact"""),
     "exp_bad_ages": sql(f"""SELECT {plain('customer_id date_of_birth date customer_age_at_purchase ' + KEY)}
         FROM (SELECT * FROM fact WHERE customer_age_at_purchase < 0 OR customer_age_at_purchase > 100
-        ORDER BY customer_id, date, invoice_id, line LIMIT 10) AS f"""),
+        ORDER BY customer_id, date, invoice_id, line) AS f"""),
     "exp_top_customers": grouped("customer_id, customer_name",
                                  f"{total('line_total_usd')} AS total_spend_usd, count(DISTINCT invoice_id) AS invoices",
                                  top("total_spend_usd", "customer_id, customer_name", 10)),
@@ -582,6 +652,30 @@ ORACLE = {
                            count(*) FILTER (churn_label = 1 AND predicted_churn = 0) AS fn,
                            count(*) FILTER (churn_label = 0 AND predicted_churn = 0) AS tn FROM scores) AS c) AS m"""),
     # results for clients
+    "segment_profile_fixed": sql(
+        "SELECT CAST(customer_purchase_count % 3 AS INTEGER) AS cluster, count(*) AS customers, "
+        + ", ".join(
+            f"round(avg({column}), 6) AS {name}"
+            for name, column in {
+                "avg_revenue": "customer_total_revenue", "avg_purchase_count": "customer_purchase_count",
+                "avg_quantity": "customer_total_quantity", "avg_order_value": "customer_average_order_value",
+                "avg_profit": "customer_total_profit", "avg_discount": "customer_average_discount",
+                "avg_promo_rate": "customer_promo_purchase_rate", "avg_weekend_rate": "customer_weekend_purchase_rate",
+                "avg_recency_days": "customer_recency_days",
+            }.items()
+        )
+        + " FROM features GROUP BY 1"
+    ),
+    "evaluation_metrics": sql("""
+        SELECT round(sum(share * coalesce(2 * p * r / nullif(p + r, 0), 0)), 9) AS f1,
+               round(sum(share * p), 9) AS weighted_precision, round(sum(share * r), 9) AS weighted_recall,
+               round(coalesce(max(CASE WHEN class = 1 THEN 2 * p * r / nullif(p + r, 0) END), 0), 9) AS churn_f1
+        FROM (SELECT class, CAST(count(*) FILTER (churn_label = class) AS DOUBLE) / count(*) AS share,
+                     coalesce(CAST(count(*) FILTER (churn_label = class AND predicted_churn = class) AS DOUBLE)
+                              / nullif(count(*) FILTER (predicted_churn = class), 0), 0) AS p,
+                     coalesce(CAST(count(*) FILTER (churn_label = class AND predicted_churn = class) AS DOUBLE)
+                              / nullif(count(*) FILTER (churn_label = class), 0), 0) AS r
+              FROM scores, unnest([0, 1]) AS c(class) GROUP BY class) AS by_class"""),
     "serve_summary": sql(f"""SELECT count(*) AS total_transactions, {total('line_total_usd')} AS total_revenue,
         {total('profit_usd')} AS total_profit, {quotient('sum(profit_usd)', 'sum(line_total_usd)')} AS profit_margin,
         count(DISTINCT customer_id) AS unique_customers, count(DISTINCT invoice_id) AS unique_orders,

@@ -1,5 +1,7 @@
 from decimal import Decimal
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from bazaar.contract import RAW_COLUMNS, TABLES
@@ -165,3 +167,18 @@ def test_quality_report_agrees_with_cleaning(warehouse):
     rows = {t: warehouse.raw(t) for t in TABLES}
     after = {r.table_name: r.rows_after for r in clean.quality_report(rows).collect()}
     assert after == {t: df.count() for t, df in clean.clean_all(rows).items()}
+
+
+@pytest.mark.parametrize(("discount", "kept"), [("1", 1), ("1.00004", 0), ("-0.00004", 0), ("0.00004", 1)])
+def test_rules_see_unrounded_values(raw, discount, kept):
+    assert clean.clean("transactions", raw("transactions", GOOD_LINE | {"Discount": discount})).count() == kept
+
+
+def test_large_prices_are_kept(raw):
+    row = clean.clean("transactions", raw("transactions", GOOD_LINE | {"Unit Price": "123456789012345.5"})).first()
+    assert row.unit_price == Decimal("123456789012345.5")
+
+
+def test_every_rule_drops_something(warehouse):
+    for r in clean.quality_report({t: warehouse.raw(t) for t in TABLES}).collect():
+        assert r.rows_dropped > 0 and r.duplicate_rows > 0, r

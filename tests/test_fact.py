@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bazaar.operators import fact as facts
 from bazaar.operators.promotions import best_promo_per_line, join_active_promos, promo_calendar, promo_days, sales_days
-from bazaar.plans import kpi, reports, views
+from bazaar.plans import kpi, reports, serving, views
 
 PROMO_SCHEMA = "category string, sub_category string, start date, end date, discount decimal(18,4)"
 LINE_SCHEMA = "invoice_id string, line int, product_category string, product_sub_category string, date timestamp"
@@ -145,7 +145,7 @@ def test_hot_customer_is_split_in_the_join(spark):
             *(F.lit(c).alias(c) for c in ("name", "email", "city", "country", "gender", "job_title")),
             F.lit(None).cast("date").alias("date_of_birth"),
         )
-        joined = facts.join_customers(lines, customers).select("line", "text", "customer_name")
+        joined = facts.join_dimension(lines, customers, "customers").select("line", "text", "customer_name")
         rows = joined.collect()
         assert len({r.line for r in rows}) == len(rows) == 60_000
         assert all(r.customer_name == "name" for r in rows)
@@ -169,3 +169,8 @@ def test_group_orders_are_total(fact):
         assert first == again
     for a, b in itertools.pairwise(reports.by_store_country(fact).collect()):
         assert (a.revenue_usd or -1) >= (b.revenue_usd or -1)
+
+
+def test_distinct_counts_do_not_repeat_lines(fact):
+    for df in (reports.overview(fact), serving.summary(fact)):
+        assert "Expand" not in df._jdf.queryExecution().executedPlan().toString()

@@ -21,13 +21,21 @@ def test_to_whole(spark, value, expected):
     assert one(spark, text.to_whole("v"), v=value) == expected
 
 
+@pytest.mark.parametrize(("value", "expected"), [("\t12", 12), ("12\t", 12), (".5", 0), ("-.5", 0), (" \t-3.9\n", -3), (".", None), ("1 2", None)])
+def test_whole_numbers_as_a_cast_reads_them(spark, value, expected):
+    assert one(spark, text.to_whole("v"), v=value) == expected
+
+
 def test_to_id_is_wide(spark):
     assert one(spark, text.to_id("v"), v="99999999999") == 99999999999
 
 
 @pytest.mark.parametrize(
     ("value", "expected"),
-    [("12.345", "12.3450"), ("NaN", None), ("Infinity", None), ("abc", None), ("-1", "-1.0000"), (None, None)],
+    [
+        ("12.345", "12.345"), ("NaN", None), ("Infinity", None), ("abc", None), ("-1", "-1"), (None, None),
+        ("1.00004", "1.00004"), ("-0.00004", "-0.00004"), ("123456789012345.5", "123456789012345.5"), ("1e15", "1e15"),
+    ],
 )
 def test_to_price(spark, value, expected):
     assert one(spark, text.to_price("v"), v=value) == (Decimal(expected) if expected else None)

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from bazaar.contract import RAW_COLUMNS, raw_schema
-from bazaar.sources.raw import read_csv, read_landed
+from bazaar.sources.raw import read_csv, read_landed, read_rejected
 from bazaar.sources.workspace import new_folder
 from bazaar.streaming.land import land_and_wait
 from bazaar.streaming.messages import all_messages, from_messages, read_message_files, rejected, to_messages
@@ -14,7 +14,7 @@ def test_csv_header_quotes_and_bytes(spark, tmp_path):
     lines = ["\ufeffStore ID,Employee ID,Position,Name", '1,10,,"A, ""B""\nC"', "2,20, Seller ,Zoë", "3,30,x,Y"]
     path = tmp_path / "employees.csv"
     path.write_bytes("\r\n".join(lines).encode() + b"\xff\r\n")
-    rows = {r["Employee ID"]: r for r in read_csv(spark, str(path), "employees").collect()}
+    rows = {r["Employee ID"]: r for r in read_csv(spark, str(path), "employees", multiline=True).collect()}
     assert rows["10"]["Name"] == 'A, "B"\nC' and rows["10"]["Position"] == "" and rows["10"]["Store ID"] == "1"
     assert rows["20"]["Name"] == "Zoë" and rows["20"]["Position"] == " Seller "
     assert rows["30"]["Name"] == "Y�"
@@ -23,7 +23,7 @@ def test_csv_header_quotes_and_bytes(spark, tmp_path):
 def test_csv_without_line_breaks_is_split(spark, tmp_path):
     path = tmp_path / "employees.csv"
     path.write_text("﻿Employee ID,Store ID,Name,Position\n1,2,a,b\n", encoding="utf-8")
-    assert read_csv(spark, str(path), "employees", multiline=False).first()["Employee ID"] == "1"
+    assert read_csv(spark, str(path), "employees").first()["Employee ID"] == "1"
 
 
 def test_messages_keep_empty_fields_and_other_alphabets(spark):
@@ -36,7 +36,7 @@ def test_messages_keep_empty_fields_and_other_alphabets(spark):
 
 
 def test_undecodable_messages_are_set_aside(spark):
-    values = ['{"Employee ID":"1"}', "not json", "[1]", '{"Employee ID":', "", None, "7", "null"]
+    values = ['{"Employee ID":"1"}', '{"Employee ID":"1"} {"Employee ID":"2"}', '{"Employee ID":"1"}, {"Employee ID":"2"}', '{"Employee ID":"1"}xx', "not json", "[1]", '{"Employee ID":', "", None, "7", "null"]
     messages = spark.createDataFrame([("employees", v) for v in values], "topic string, value string")
     assert from_messages(messages, "employees").count() == 1
     assert rejected(messages).count() == len(values) - 1
@@ -70,7 +70,12 @@ def test_landing_is_exactly_once(spark):
     more.write.mode("append").parquet(source)
     land_and_wait(read_message_files(spark, source), raw, checkpoint)
     assert landed() == 501
-    assert spark.read.text(f"{raw}/status=rejected/topic=employees").first().value == "broken"
+    assert [tuple(r) for r in read_rejected(spark, raw).collect()] == [("employees", "broken")]
+    stray = f"{raw}/status=ok/topic=employees/part-of-a-lost-task.txt"
+    with open(stray, "w") as f:
+        f.write('{"Employee ID":"1"}\n')
+    assert landed() == 501
+    assert read_landed(spark, raw, "stores").count() == 0
     spread_over_lines = read_landed(spark, raw, "employees").filter("employee_id = '900'").first()
     assert spread_over_lines.name is None and spread_over_lines.position == "a\nb"
 

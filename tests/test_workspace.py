@@ -30,3 +30,13 @@ def test_new_folders_differ():
     local = session("local[2]", "/shared")
     assert new_folder(local, "x") != new_folder(local, "x")
     assert new_folder(local, "x").startswith("/shared/bazaar/app-1/x-")
+
+
+def test_a_closed_warehouse_leaves_nothing(spark, tmp_path):
+    from bazaar.plans.warehouse import Warehouse
+
+    warehouse = Warehouse(spark, {}, str(tmp_path / "tables"))
+    assert warehouse.table("numbers", lambda: spark.range(5)).count() == 5
+    warehouse.close()
+    assert not (tmp_path / "tables").exists() and not warehouse.written("numbers")
+    assert warehouse.table("numbers", lambda: spark.range(6)).count() == 6
