@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.llm.common import chunks
+from bazaar.llm.common import chunks, keyed, unkeyed
 
 LETTER, NUMBER, OTHER, BLANK, SPACE, SHORT, LONG, END = range(8)
 # Fixed values: \s of the pattern, and letters and numbers newer than Python's own Unicode tables.
@@ -269,10 +269,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 yield pd.DataFrame(frame)
         merger(path).cache = {}  # an idle worker keeps no more than the vocabulary
 
-    kind = dict(docs.dtypes)[key]
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    schema = f"key {kind}, ids array<int>, offsets array<int>" + ", decoded binary" * decoded
-    return rows.mapInPandas(run, schema).withColumnRenamed("key", key)
+    schema = "key string, ids array<int>, offsets array<int>" + ", decoded binary" * decoded
+    return unkeyed(keyed(docs, key, text).mapInPandas(run, schema), docs, key)
 
 
 def decoder(path: str):

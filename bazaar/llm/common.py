@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,9 +50,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def private(prefix: str) -> str:
-    """A column name that no table has."""
-    return f"__{prefix}_{uuid.uuid4().hex[:8]}"
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text) for Python: keys as strings, because pandas would hold numbers with nulls among them as doubles; null texts
+    as empty ones."""
+    return docs.select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def unkeyed(out: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """The key under its name and type again."""
+    return out.select(F.col("key").cast(docs.schema[key].dataType).alias(key), *[c for c in out.columns if c != "key"])
 
 
 def components(links: DataFrame, checkpoint: str = "components") -> DataFrame:

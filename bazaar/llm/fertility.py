@@ -14,9 +14,8 @@ import numpy as np
 import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from bazaar.llm.common import chunks, mix
+from bazaar.llm.common import chunks, keyed, mix, unkeyed
 
 WHITE, SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 WINDOW, FEWEST, MOST_REPEATED = 5, 10, 20
@@ -194,6 +193,5 @@ def quality_rules(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
                 yield m.assign(base_failed=failed, kept=in_bands(m) & ~failed)
         words_of(path).clear()  # an idle worker keeps no more than the vocabulary
 
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kind = dict(docs.dtypes)[key]
-    return rows.mapInPandas(run, f"key {kind}, {MEASURES}, base_failed boolean, kept boolean").withColumnRenamed("key", key)
+    out = keyed(docs, key, text).mapInPandas(run, f"key string, {MEASURES}, base_failed boolean, kept boolean")
+    return unkeyed(out, docs, key)

@@ -316,7 +316,7 @@ def extract(pages: DataFrame, field: Field | None = None, keep: tuple[str, ...]
                 out["text"], out["n_blocks"] = [r[0] for r in rows], [r[1] for r in rows]
                 yield out
 
-    kinds = dict(pages.dtypes)
-    rows = pages.select(*[F.col(c) for c in keep], F.coalesce(F.col(source), F.lit("")).alias("__html"))
-    found = rows.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", text string, n_blocks int")
-    return found.select(*keep, "text", F.length("text").cast("long").alias("n_chars"), "n_blocks")
+    # Keys travel as strings: pandas would hold numbers with nulls among them as doubles.
+    rows = pages.select(*[F.col(c).cast("string").alias(c) for c in keep], F.coalesce(F.col(source), F.lit("")).alias("__html"))
+    found = rows.mapInPandas(run, ", ".join(f"{c} string" for c in keep) + ", text string, n_blocks int")
+    return found.select(*[F.col(c).cast(pages.schema[c].dataType).alias(c) for c in keep], "text", F.length("text").cast("long").alias("n_chars"), "n_blocks")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.llm.common import chunks, held_out, mix
+from bazaar.llm.common import chunks, held_out, keyed, mix, unkeyed
 from bazaar.llm.toxicity import labelled
 
 BUCKETS, SIZE, SIGNS, REACH = 1 << 14, 32, 2, 2
@@ -183,8 +183,7 @@ def score(docs: DataFrame, table: np.ndarray, network: Network, key: str = "doc_
                 some = texts[first:last]
                 yield pd.DataFrame({"key": keys.iloc[first:last], "score": network.probability(pooled(some, table, known))})
 
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"key {dict(docs.dtypes)[key]}, score double").withColumnRenamed("key", key)
+    return unkeyed(keyed(docs, key, text).mapInPandas(run, "key string, score double"), docs, key)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.llm.common import components, written
+from bazaar.llm.common import components, keyed, unkeyed, written
 
 WORDS, SEED, BITS, HALF = 4, 42, 4, 32
 BLOCK = 2048
@@ -48,8 +48,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             values = np.array([fingerprint(t) for t in batch["text"]], np.uint64)
             yield pd.DataFrame({"key": batch["key"], "fp": values.view(np.int64)})
 
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"key {dict(docs.dtypes)[key]}, fp long").withColumnRenamed("key", key)
+    return unkeyed(keyed(docs, key, text).mapInPandas(run, "key string, fp long"), docs, key)
 
 
 def fingerprint_of(text: str) -> Column:

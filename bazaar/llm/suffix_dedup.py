@@ -187,14 +187,14 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = spans(rows.where("doc is not null")).groupBy("doc").agg(F.collect_list("at").alias("places"))
-    both = rows.join(found, "doc", "left")
+    both = rows.join(found, "doc", "left").withColumn("doc", F.col("doc").cast("string"))  # pandas would make doubles of longs with nulls
 
     def run(batches):
         for batch, data in _batches(batches):
             out = [kept_bytes(b, p) for b, p in zip(data, batch["places"])]
             yield pd.DataFrame({"doc": batch["doc"], "kept": [k for k, _ in out], "removed": [[{"start": a, "stop": b} for a, b in r] for _, r in out], "n_bytes": [len(b) for b in data]})
 
-    out = both.mapInPandas(run, "doc long, kept binary, removed array<struct<start:long,stop:long>>, n_bytes long")
+    out = both.mapInPandas(run, "doc string, kept binary, removed array<struct<start:long,stop:long>>, n_bytes long")
     return out.select(F.col("doc").cast(kind).alias(key), "kept", "removed", "n_bytes")
 
 

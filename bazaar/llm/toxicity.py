@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.llm.common import held_out, written
+from bazaar.llm.common import held_out, keyed, unkeyed, written
 
 WORD, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK = range(7)
 
@@ -281,8 +281,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             out.insert(0, "key", batch["key"].to_numpy())
             yield out
 
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"key {dict(docs.dtypes)[key]}, score double, n_clauses int, worst string").withColumnRenamed("key", key)
+    out = keyed(docs, key, text).mapInPandas(run, "key string, score double, n_clauses int, worst string")
+    return unkeyed(out, docs, key)
 
 
 def probability(model: Model):

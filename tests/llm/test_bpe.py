@@ -43,7 +43,7 @@ def test_chunks_of_texts(monkeypatch):
 
 
 def test_frame(spark):
-    rows = [(i, t) for i, t in enumerate(HARD)] + [(1, None), (1, None), (None, "x y")]
+    rows = [(i, t) for i, t in enumerate(HARD)] + [(2**60 + 1, "big key"), (1, None), (1, None), (None, "x y")]
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, ids int, key int")
     got = sorted(map(str, bpe.digests(docs, PATH).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()))
     sha = lambda b: hashlib.sha256(b).hexdigest()
