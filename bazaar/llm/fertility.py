@@ -23,14 +23,13 @@ WINDOW, FEWEST, MOST_REPEATED = 5, 10, 20
 CACHE, CHUNK = 200_000, 1_000_000
 
 # Scripts told apart by the first word of a letter's Unicode name, and the band of each measure:
-# characters per token, share of byte tokens, bits of token entropy (for texts of at least LONG tokens; shorter texts cannot
-# reach much). A script that is not listed has the band of "other".
-LONG = 200
+# characters per token, share of byte tokens, and least bits of token entropy for texts of so many tokens or more (shorter
+# texts cannot reach much, longer ones that stay below repeat a few tokens). A script that is not listed is "other".
 BANDS = {
-    "latin": {"chars_per_token": (1.35, 7.5), "byte_share": (0.0, 0.20), "entropy": (4.0, 14.0)},
-    "cyrillic": {"chars_per_token": (1.1, 7.0), "byte_share": (0.0, 0.25), "entropy": (4.0, 14.0)},
-    "greek": {"chars_per_token": (0.8, 5.0), "byte_share": (0.0, 0.50), "entropy": (3.5, 14.0)},
-    "other": {"chars_per_token": (0.2, 8.0), "byte_share": (0.0, 1.0), "entropy": (3.5, 14.0)},
+    "latin": {"chars_per_token": (1.35, 7.5), "byte_share": (0.0, 0.20), "entropy": ((200, 5.6), (1000, 6.2))},
+    "cyrillic": {"chars_per_token": (1.1, 7.0), "byte_share": (0.0, 0.25), "entropy": ((200, 4.0), (1000, 5.0))},
+    "greek": {"chars_per_token": (0.8, 5.0), "byte_share": (0.0, 0.50), "entropy": ((200, 3.5), (1000, 4.0))},
+    "other": {"chars_per_token": (0.2, 8.0), "byte_share": (0.0, 1.0), "entropy": ((200, 3.5), (1000, 4.0))},
 }
 _SCRIPTS = ("latin", "cyrillic", "greek", "other")
 
@@ -163,13 +162,14 @@ def measure(texts: list[str], path: str) -> pd.DataFrame:
 
 def in_bands(m: pd.DataFrame) -> np.ndarray:
     """False for texts outside a band of their script."""
-    ok = np.ones(len(m), bool)
-    for name in ("chars_per_token", "byte_share", "entropy"):
-        low, high = (m["script"].map({s: b[name][k] for s, b in BANDS.items()}).to_numpy(float) for k in (0, 1))
+    ok, tokens = np.ones(len(m), bool), m["n_tokens"].to_numpy()
+    of_script = lambda value: m["script"].map({s: value(b) for s, b in BANDS.items()}).to_numpy(float)
+    for name in ("chars_per_token", "byte_share"):
         values = m[name].to_numpy()
-        if name == "entropy":
-            low = np.where(m["n_tokens"].to_numpy() >= LONG, low, -1.0)
-        ok &= (m["n_tokens"].to_numpy() == 0) | (values >= low) & (values <= high)
+        ok &= (tokens == 0) | (values >= of_script(lambda b: b[name][0])) & (values <= of_script(lambda b: b[name][1]))
+    for k in (0, 1):
+        long = tokens >= of_script(lambda b: b["entropy"][k][0])
+        ok &= ~long | (m["entropy"].to_numpy() >= of_script(lambda b: b["entropy"][k][1]))
     return ok
 
 
