@@ -28,7 +28,7 @@ NEW_LETTERS = [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0
 NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
 #: Pieces that a worker keeps merged; beyond it the cache starts anew.
 CACHE = 250_000
-CHUNK = 1_000_000
+CHUNK = 300_000
 NONE = 2**31 - 1
 
 # States before a character: 0 a contraction may begin, 1 an apostrophe would join what stands before it,
