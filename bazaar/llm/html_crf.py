@@ -21,16 +21,28 @@ from pyspark.sql import functions as F
 
 from bazaar.llm.common import chunks
 
-# Elements of HTML.
-RAW = "script style noscript template iframe svg math object head select textarea button"
+# Elements of HTML. RAW ones end at their end tag or with the page; those of CLOSED go with what they hold if their
+# end tag comes before the next of their name, else they are open elements like any other.
+RAW = "script|style"
+CLOSED = "noscript|template|iframe|svg|math|object|select|textarea|button"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q s samp small span strike strong sub sup time tt u var ruby rt rp".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = frozenset("ul ol dl table div section article main aside nav header footer body form".split())
+# What may stand in a head, which goes on over it; its end tag may be left out. (No group in it: re fails on those in possessive
+# repeats.)
+IN_HEAD = "|".join([
+    r"\s+|<!--.*?(?:-->|\Z)|<(?:meta|link|base|basefont|bgsound)(?=[\s/>])[^>]*>",
+    *[rf"<{n}(?=[\s/>])[^>]*>.*?(?:</{n}\s*>|\Z)" for n in RAW.split("|")],
+    *[rf"<{n}(?=[\s/>])[^>]*>[^<]*+(?:<(?!/?(?:{n}|head|body)[\s/>])[^<]*+)*+</{n}\s*>" for n in ("title", "noscript", "template", "noframes")],
+    r"<title(?=[\s/>])[^>]*>[^<]*+",
+])
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({RAW.replace(' ', '|')})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
+    rf"|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<closed>{CLOSED})(?=[\s/>])[^>]*>[^<]*+(?:<(?!/?(?P=closed)[\s/>])[^<]*+)*+</(?P=closed)\s*>"
+    rf"|<(?P<head>head)(?=[\s/>])[^>]*>(?:{IN_HEAD})*+(?:</head\s*>)?"
+    r"|<(?P<slash>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
 )
@@ -74,9 +86,9 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 linked += m.start() - at
         at = m.end()
-        tag = m[3]
+        tag = m["tag"]
         if tag is None:
-            if m[1]:
+            if m["raw"] or m["closed"] or m["head"]:
                 text.append(" ")
             continue
         tag = tag.lower()
@@ -87,8 +99,8 @@ def blocks(page: str) -> list[Block]:
                 flush()
         elif tag in INLINE:
             if tag == "a":
-                in_link = not m[2]
-        elif m[2]:
+                in_link = not m["slash"]
+        elif m["slash"]:
             flush()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
@@ -104,7 +116,7 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[i][0] in HOLDS:
                     break
-            own = _cues(tag, m[4])
+            own = _cues(tag, m["rest"])
             stack.append((tag, (stack[-1][1] if stack else ()) + own))
     if at < len(page):
         text.append(page[at:])

@@ -71,3 +71,16 @@ def test_odd_rows(spark):
     assert len(out) == 5 and sorted(r["n_chars"] for r in out)[:3] == [0, 0, 0]
     assert max(r["n_chars"] for r in out) == 999_999
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_left_out_end_tags(field):
+    body = "<body><article><h1>Head</h1><p>One two three, four five six.</p>{}<p>Seven eight nine, ten eleven.</p></article>"
+    whole = "Head\nOne two three, four five six.\nSeven eight nine, ten eleven."
+    for head in ("<head><title>t</title>", "<head><meta charset=utf-8><script>var a = '<p>';</script><title>a < b</title>\n<link rel=x>", "<head><title>t", "<head><noscript><p>no</p></noscript></head>", "<head>"):
+        assert field.text(f"<html>{head}" + body.format("")) == whole
+    assert [H.clean(r) for _, r, _ in H.blocks("<head><title>t</title><p>a<p>b")] == ["a", "b"]
+    for tag in ("button", "select", "object", "noscript", "textarea", "svg", "iframe"):
+        assert field.text(body.format(f"<{tag}>")) == whole
+        assert field.text(body.format(f"<{tag} class=x>") + f"<footer><{tag}>no</{tag}></footer>") == whole
+        assert field.text(body.format(f"<{tag}>no</{tag}>")) == whole
+    assert H.blocks("<p>a<script>no") == [(("p",), "a ", 0)]
