@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaar.llm import bpe, compact_windows, decontaminate, fertility, html_crf, pii, quality, simhash, suffix_dedup, toxicity
+from bazaar.llm import bpe, compact_windows, decontaminate, fertility, fim, html_crf, pii, quality, simhash, suffix_dedup, toxicity
 from bazaar.llm.common import documents, table
 
 #: Vocabulary files, on every executor.
@@ -55,6 +55,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_crf": op1_html_crf,
     "op2_toxicity": op2_toxicity,
@@ -66,7 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_compact_windows": op8_compact_windows,
     "op9_fertility": op9_fertility,
     "op10_quality": op10_quality,
+    "op11_fim": op11_fim,
 }
 ORACLE: dict[str, str] = {
     "op4_decontaminate": decontaminate.SQL,
+    "op11_fim": fim.SQL,
 }
