@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaar.llm import bpe, compact_windows, decontaminate, fertility, fim, html_crf, minhash, pii, quality, simhash, suffix_dedup, toxicity
+from bazaar.llm import bpe, compact_windows, conversations, decontaminate, fertility, fim, html_crf, minhash, pii, quality, simhash, suffix_dedup, toxicity
 from bazaar.llm.common import documents, table
 
 #: Vocabulary files, on every executor.
@@ -59,6 +59,10 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(documents(spark, sf_dir))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(table(spark, sf_dir, "conversations"))
+
+
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fertility": op9_fertility,
     "op10_quality": op10_quality,
     "op11_fim": op11_fim,
+    "op12_conversations": op12_conversations,
     "op13_minhash": op13_minhash,
 }
 ORACLE: dict[str, str] = {
