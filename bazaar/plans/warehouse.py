@@ -30,8 +30,9 @@ class Warehouse:
     Raw tables named in ``land`` are themselves results of a job, and are written before they are cleaned.
     """
 
-    def __init__(self, spark: SparkSession, raw: dict[str, DataFrame], root: str, land: Sequence[str] = ()):
+    def __init__(self, spark: SparkSession, raw: dict[str, DataFrame], root: str, land: Sequence[str] = (), sf_dir: str = ""):
         self.spark = spark
+        self.sf_dir = sf_dir
         self.root = root
         self._sources = raw
         self._land = land
@@ -93,7 +94,7 @@ def open_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     where = (spark.sparkContext.applicationId, sf_dir)
     if where not in _open:
         raw = {name: to_snake(df) for name, df in adapter.raw_tables(spark, sf_dir).items()}
-        _open[where] = Warehouse(spark, raw, new_folder(spark, "warehouse"), land=("transactions",))
+        _open[where] = Warehouse(spark, raw, new_folder(spark, "warehouse"), land=("transactions",), sf_dir=sf_dir)
     return _open[where]
 
 

@@ -10,8 +10,8 @@ FACT_PARTITIONS = ("purchase_year", "purchase_month")
 ROWS_PER_FILE = 20_000_000
 
 
-def write_fact(fact: DataFrame, path: str) -> None:
-    """Parquet by year and month.
+def write_fact(fact: DataFrame, path: str, only_partitions: bool = False) -> None:
+    """Parquet by year and month; with ``only_partitions`` months that have no row here stay as they are.
 
     Rows are gathered per month so that a month is not scattered over one file per task, and a month larger than the
     advisory partition size is split again, so the busiest month is not one task.
@@ -20,6 +20,7 @@ def write_fact(fact: DataFrame, path: str) -> None:
         fact.hint("rebalance", *(F.col(c) for c in FACT_PARTITIONS))
         .write.mode("overwrite")
         .option("maxRecordsPerFile", ROWS_PER_FILE)
+        .option("partitionOverwriteMode", "dynamic" if only_partitions else "static")
         .partitionBy(*FACT_PARTITIONS)
         .parquet(path)
     )

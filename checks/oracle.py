@@ -520,6 +520,7 @@ ORACLE = {
         f"SELECT {plain(KEY + ' date purchase_day_of_week purchase_month purchase_year is_weekend')} FROM fact"
     ),
     "fact_transactions": sql(f"SELECT {plain(FACT_COLUMNS)} FROM fact"),
+    "fact_incremental": sql(f"SELECT {plain(FACT_COLUMNS)} FROM fact"),
     "fact_partition_counts": grouped("purchase_year, purchase_month", "count(*) AS lines"),
     "fact_view_sql": grouped("product_category, purchase_year", f"{REVENUE}, {UNITS}"),
     # sales reports
