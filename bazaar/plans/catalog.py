@@ -20,6 +20,7 @@ from bazaar.functions.money import add_usd_columns
 from bazaar.functions.sanitize import sanitize_numeric
 from bazaar.functions.text import null_placeholders
 from bazaar.operators import clean, dedup, fact, outliers, promotions
+from bazaar.operators.ranking import area_under_roc
 from bazaar.plans import churn, explore, features, kpi, reports, segments, serving, views
 from bazaar.plans.warehouse import DIMENSIONS, Warehouse, open_warehouse
 from bazaar.sources import adapter
@@ -285,6 +286,34 @@ def _rule_scores(w: Warehouse) -> DataFrame:
     ).withColumn("risk_level", risk_level(F.col("churn_probability")))
 
 
+#: A model without a fit, so that assignment, scores and their figures can be checked in SQL: centres in scaled units, and
+#: coefficients of unscaled features.
+CENTRES = [[1.0] * 10, [2.0] * 10, [3.0] * 5 + [1.0] * 5]
+COEFFICIENTS = {
+    "customer_recency_days": 0.004, "customer_purchase_count": -0.05, "customer_promo_purchase_rate": 0.5,
+    "customer_profit_margin": -0.75,
+}
+INTERCEPT = 0.25
+
+
+def _given_segments(w: Warehouse) -> DataFrame:
+    return segments.assigned(segments.model_of(w.spark, CENTRES), features.scaled(_features(w)))
+
+
+def _given_silhouette(w: Warehouse) -> DataFrame:
+    rows = segments.quality(segments.model_of(w.spark, CENTRES), features.scaled(_features(w)))
+    return rows.withColumn("silhouette", F.round("silhouette", 6))
+
+
+def _given_scores(w: Warehouse) -> DataFrame:
+    scores = churn.score(churn.model_of(w.spark, COEFFICIENTS, INTERCEPT), _churn_dataset(w))
+    return scores.withColumn("churn_probability", F.round("churn_probability", 9))
+
+
+def _roc_auc(w: Warehouse) -> DataFrame:
+    return area_under_roc(_rule_scores(w), churn.LABEL, "churn_probability").select(F.round("roc_auc", 9).alias("roc_auc"))
+
+
 def _evaluation_metrics(w: Warehouse) -> DataFrame:
     """The figures of a model's report, over the rule's predictions."""
     figures = churn.weighted_metrics(churn.confusion_metrics(_rule_scores(w), prediction="predicted_churn"))
@@ -369,6 +398,10 @@ FROM_WAREHOUSE: dict[str, Callable[[Warehouse], DataFrame]] = {
     "churn_predictions_summary": lambda w: serving.churn_summary(_churn_models(w, "churn_predictions")),
     "risk_band": _rule_scores,
     "evaluation_metrics": _evaluation_metrics,
+    "segment_assign": lambda w: _given_segments(w).select("customer_id", "cluster"),
+    "silhouette_fixed": _given_silhouette,
+    "roc_auc_fixed": _roc_auc,
+    "score_fixed": _given_scores,
     "segment_profile_fixed": _profile_fixed,
     "confusion_metrics": lambda w: churn.confusion_metrics(_rule_scores(w), prediction="predicted_churn"),
     "serve_customer_analytics": lambda w: serving.customer_analytics(_rule_scores(w)),

@@ -7,12 +7,15 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
+from pyspark.ml.common import _py2java
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bazaar.functions.bands import risk_level
 from bazaar.functions.dates import purchase_day
@@ -172,8 +175,38 @@ def train(dataset: DataFrame) -> ChurnModels:
     return ChurnModels([metrics for _, metrics in fitted], figures["model"], best)
 
 
+def model_of(spark: SparkSession, coefficients: dict[str, float], intercept: float) -> PipelineModel:
+    """A logistic model with given coefficients of unscaled features (0 for the rest), used and saved as a fitted one."""
+    values = _py2java(spark.sparkContext, Vectors.dense([coefficients.get(c, 0.0) for c in FEATURES]))
+    java = spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel("logistic_given", values, float(intercept))
+    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
+    return PipelineModel([assembler, LogisticRegressionModel(java).setFeaturesCol("features")])
+
+
+def load_model(path: str) -> PipelineModel:
+    """A saved pipeline of this module; anything else is an error here rather than wrong scores later."""
+    model = PipelineModel.load(path)
+    if not _inputs(model):
+        raise ValueError(f"{path} holds no pipeline that assembles its features")
+    return model
+
+
+def _inputs(model: PipelineModel) -> list[str]:
+    return [c for stage in model.stages if isinstance(stage, VectorAssembler) for c in stage.getInputCols()]
+
+
+def check_inputs(model: PipelineModel, dataset: DataFrame) -> None:
+    """Every column that the model reads must be there and be a number."""
+    kinds = {f.name: f.dataType for f in dataset.schema.fields}
+    missing = [c for c in _inputs(model) if c not in kinds]
+    other = [c for c in _inputs(model) if c in kinds and not isinstance(kinds[c], (T.NumericType, T.BooleanType))]
+    if missing or other:
+        raise ValueError(f"the model reads columns that are missing {missing} or no numbers {other}")
+
+
 def score(model: PipelineModel, dataset: DataFrame) -> DataFrame:
     """Probability and risk level of every customer, training rows included."""
+    check_inputs(model, dataset)
     probability = F.get(vector_to_array("probability"), F.lit(1))
     return (
         model.transform(dataset)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bazaar.functions.bands import age_group
 from bazaar.functions.dates import purchase_day
 from bazaar.functions.money import ratio, ratio_or_zero
+from bazaar.operators.ranking import with_position
 
 # Text columns that models read as numbers, and the columns that hold the numbers.
 CODED_COLUMNS = {
@@ -80,12 +80,14 @@ def customer_features(fact: DataFrame) -> DataFrame:
 def category_index(features: DataFrame) -> DataFrame:
     """Code of every value of the coded columns: 0 for the most frequent, equal counts in alphabetical order.
 
-    Counting is distributed; only one row per distinct value is ranked.
+    Counting and ranking are distributed: all values are put in one order, and a column's codes count from its first value.
     """
     rows = features.unpivot(["customer_id"], list(CODED_COLUMNS), "column_name", "value").filter("value is not null")
     counts = rows.groupBy("column_name", "value").agg(F.count("*").alias("customers"))
-    window = Window.partitionBy("column_name").orderBy(F.desc("customers"), F.asc("value"))
-    return counts.withColumn("index", F.row_number().over(window) - 1)
+    order = [F.asc("column_name"), F.desc("customers"), F.asc("value")]
+    placed = with_position(counts, order)
+    first = placed.groupBy("column_name").agg(F.min("position").alias("first"))
+    return placed.join(first, "column_name").select("column_name", "value", "customers", (F.col("position") - F.col("first")).alias("index"))
 
 
 def with_codes(features: DataFrame) -> DataFrame:

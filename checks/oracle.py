@@ -8,6 +8,18 @@ from __future__ import annotations
 
 import re
 
+FEATURE_NAMES = (
+    "customer_total_revenue customer_average_order_value customer_total_profit customer_profit_margin "
+    "customer_purchase_count customer_total_quantity customer_average_discount customer_promo_purchase_rate "
+    "customer_weekend_purchase_rate customer_recency_days"
+).split()
+CENTRES = [[1.0] * 10, [2.0] * 10, [3.0] * 5 + [1.0] * 5]
+
+
+def _distance(centre: list[float]) -> str:
+    return " + ".join(f"power({c} - {x}, 2)" for c, x in zip(FEATURE_NAMES, centre))
+
+
 DESCRIPTIONS = [f"description_{x}" for x in ("pt", "de", "fr", "es", "en", "zh")]
 TEXT_VALUE = "CASE WHEN upper(trim({0})) NOT IN ('', 'NAN', 'NONE', 'NULL') THEN trim({0}) END"
 TEXT = TEXT_VALUE + " AS {0}"
@@ -265,6 +277,27 @@ CTES = {
                                          WHERE CAST(date AS DATE) > (SELECT d - 90 FROM last_day))
                     THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS churn_label
         FROM past GROUP BY customer_id""",
+    # Segments and scores of models that are given instead of fitted.
+    "deviations": "SELECT " + ", ".join(f"stddev_samp({c}) AS {c}" for c in FEATURE_NAMES) + " FROM features",
+    "units": "SELECT f.customer_id, " + ", ".join(f"f.{c} / s.{c} AS {c}" for c in FEATURE_NAMES)
+             + " FROM features f, deviations s",
+    "given_segments": f"""
+        SELECT *, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS cluster
+        FROM (SELECT *, {_distance(CENTRES[0])} AS d0, {_distance(CENTRES[1])} AS d1, {_distance(CENTRES[2])} AS d2
+              FROM units) AS u""",
+    # every customer with every other one
+    "given_distances": f"""
+        SELECT a.customer_id, a.cluster, b.cluster AS other, count(*) AS n,
+               sum({' + '.join(f'power(a.{c} - b.{c}, 2)' for c in FEATURE_NAMES)}) AS total
+        FROM given_segments a, given_segments b GROUP BY ALL""",
+    "given_silhouettes": """
+        SELECT customer_id, cluster, max(n) FILTER (other = cluster) AS n,
+               max(total / greatest(n - 1, 1)) FILTER (other = cluster) AS a, min(total / n) FILTER (other <> cluster) AS b
+        FROM given_distances GROUP BY ALL""",
+    "given_scores": """
+        SELECT customer_id, churn_label, 1 / (1 + exp(-z)) AS probability
+        FROM (SELECT *, 0.25 + 0.004 * customer_recency_days - 0.05 * customer_purchase_count
+                        + 0.5 * customer_promo_purchase_rate - 0.75 * customer_profit_margin AS z FROM churn) AS s""",
     # Scores by a fixed rule (long absence is risky), so that everything downstream of a score can be compared.
     "scores": """
         SELECT customer_id, churn_label, probability AS churn_probability,
@@ -440,11 +473,6 @@ def _quality_report() -> str:
 
 RAW_NULLABLE = "color payment_method currency"
 PLACEHOLDER = "CASE WHEN upper(trim({0})) NOT IN ('', 'NAN', 'NONE', 'NULL') THEN trim({0}) END AS {0}"
-FEATURE_NAMES = (
-    "customer_total_revenue customer_average_order_value customer_total_profit customer_profit_margin "
-    "customer_purchase_count customer_total_quantity customer_average_discount customer_promo_purchase_rate "
-    "customer_weekend_purchase_rate customer_recency_days"
-).split()
 SPLIT = "CAST('0x' || substr(md5(CAST(customer_id AS VARCHAR)), 1, 8) AS BIGINT) % 100"
 
 ORACLE = {
@@ -667,6 +695,19 @@ ORACLE = {
         )
         + " FROM features GROUP BY 1"
     ),
+    "segment_assign": sql("SELECT customer_id, CAST(cluster AS INTEGER) AS cluster FROM given_segments"),
+    "silhouette_fixed": sql("""SELECT CAST(cluster AS INTEGER) AS cluster, count(*) AS customers,
+        round(avg(CASE WHEN n = 1 OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette
+        FROM given_silhouettes GROUP BY 1"""),
+    "score_fixed": sql("""SELECT customer_id, churn_label, round(probability, 9) AS churn_probability,
+        CASE WHEN probability > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS predicted_churn,
+        CASE WHEN probability >= 0.80 THEN 'HIGH' WHEN probability >= 0.50 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level
+        FROM given_scores"""),
+    "roc_auc_fixed": sql("""SELECT round((sum(place) FILTER (churn_label = 1) - n1 * (n1 + 1) / 2) / (n1 * n0), 9) AS roc_auc
+        FROM (SELECT churn_label, rank() OVER (ORDER BY churn_probability)
+                     + (count(*) OVER (PARTITION BY churn_probability) - 1) / 2.0 AS place FROM scores) AS r,
+             (SELECT count(*) FILTER (churn_label = 1) AS n1, count(*) FILTER (churn_label = 0) AS n0 FROM scores) AS c
+        GROUP BY n1, n0"""),
     "evaluation_metrics": sql("""
         SELECT round(sum(share * coalesce(2 * p * r / nullif(p + r, 0), 0)), 9) AS f1,
                round(sum(share * p), 9) AS weighted_precision, round(sum(share * r), 9) AS weighted_recall,

@@ -1,4 +1,5 @@
 import datetime
+import math
 from collections import Counter
 from decimal import Decimal
 
@@ -118,6 +119,55 @@ def test_segments(customer_features):
     assert clusters(again) == clusters(assigned)
 
 
+def test_silhouette_equals_the_evaluator(customer_features):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    rows = features.scaled(customer_features)
+    for model in (segments._kmeans(4, 5, "cluster").fit(rows), segments.model_of(rows.sparkSession, [[1.0] * 10, [2.0] * 10])):
+        evaluator = ClusteringEvaluator(featuresCol="scaled_features", predictionCol="cluster")
+        ours = segments.mean_silhouette(segments.quality(model, rows)).first().silhouette
+        assert ours == pytest.approx(evaluator.evaluate(model.transform(rows)), abs=1e-9)
+
+
+def test_silhouette_by_hand(spark):
+    rows = [(0, 0.0, 0.0), (0, 0.0, 2.0), (1, 3.0, 0.0), (1, 3.0, 1.0), (1, 4.0, 0.0), (2, 9.0, 9.0), (1, None, 0.0), (None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "cluster int, x double, y double")
+    known = [r for r in rows if None not in r]
+    square = lambda p, q: (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2
+    want = {}
+    for i, p in enumerate(known):
+        mean = {c: [square(p, q) for j, q in enumerate(known) if q[0] == c and j != i] for c in (0, 1, 2)}
+        a, b = mean.pop(p[0]), min(sum(d) / len(d) for d in mean.values() if d)
+        s = (b - sum(a) / len(a)) / max(b, sum(a) / len(a)) if a else 0
+        want.setdefault(p[0], []).append(s)
+    got = {r.cluster: (r.customers, r.silhouette) for r in segments.silhouette(df, ["x", "y"]).collect()}
+    assert got == {c: (len(s), pytest.approx(sum(s) / len(s))) for c, s in want.items()}
+    assert segments.silhouette(df.filter("cluster = 1"), ["x", "y"]).first().silhouette == 0
+    assert segments.silhouette(df.limit(0), ["x", "y"]).count() == 0
+
+
+def test_given_models_are_saved_and_loaded(spark, dataset, customer_features):
+    from pyspark.ml.clustering import KMeansModel
+
+    path = new_folder(spark, "given")
+    model = churn.model_of(spark, {"customer_recency_days": 0.01}, -1.0)
+    write_model(model, path)
+    again = churn.load_model(path)
+    rows = {r.customer_id: r for r in churn.score(again, dataset).collect()}
+    for r in dataset.select("customer_id", "customer_recency_days").collect():
+        p = 1 / (1 + math.exp(1 - 0.01 * r.customer_recency_days))
+        assert rows[r.customer_id].churn_probability == pytest.approx(p)
+    with pytest.raises(ValueError, match="customer_recency_days"):
+        churn.score(again, dataset.drop("customer_recency_days"))
+    with pytest.raises(ValueError, match="customer_recency_days"):
+        churn.score(again, dataset.withColumn("customer_recency_days", F.lit("many")))
+    centres = [[0.0] * 10, [3.0] * 10]
+    write_model(segments.model_of(spark, centres), f"{path}-segments")
+    loaded = KMeansModel.load(f"{path}-segments")
+    assert [c.tolist() for c in loaded.clusterCenters()] == centres
+    assert {r.cluster for r in segments.assigned(loaded, features.scaled(customer_features)).collect()} == {0, 1}
+
+
 def test_first_best_k_wins():
     assert segments.best_k([(2, 0.5), (3, 0.7), (4, 0.7)]) == 3
 
