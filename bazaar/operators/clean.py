@@ -133,10 +133,19 @@ RULES = {
 }
 
 
+def typed_rows(table: str, raw: DataFrame) -> DataFrame:
+    """Raw rows with the types of the table, each value worked out once.
+
+    A filter over typed columns would be pushed below the projection that types them, and its casts done twice, in a method too
+    long for the JVM to compile. A filter does not pass the rows of an ``inline``.
+    """
+    typed = RULES[table].typed(raw)
+    return typed.select(F.inline(F.array(F.struct(*typed.columns))))
+
+
 def valid_rows(table: str, raw: DataFrame) -> DataFrame:
     """Typed rows that pass the rules of the table; a rule over a null fails."""
-    rule = RULES[table]
-    return rule.typed(raw).filter(rule.valid())
+    return typed_rows(table, raw).filter(RULES[table].valid())
 
 
 def unique_rows(table: str, raw: DataFrame) -> DataFrame:
@@ -163,7 +172,7 @@ def quality_report(raw: dict[str, DataFrame]) -> DataFrame:
     parts = []
     for table in TABLES:
         rule = RULES[table]
-        typed = rule.typed(raw[table])
+        typed = typed_rows(table, raw[table])
         valid = F.coalesce(rule.valid(), F.lit(False))
         no_id = ~_present(*rule.ids)
         key = F.struct(*(rule.key or typed.columns))

@@ -1,3 +1,4 @@
+import re
 from decimal import Decimal
 
 import pytest
@@ -182,3 +183,16 @@ def test_large_prices_are_kept(raw):
 def test_every_rule_drops_something(warehouse):
     for r in clean.quality_report({t: warehouse.raw(t) for t in TABLES}).collect():
         assert r.rows_dropped > 0 and r.duplicate_rows > 0, r
+
+
+@pytest.mark.parametrize("table", TABLES)
+def test_cleaning_is_compiled(spark, warehouse, table):
+    """The JVM does not compile methods of 8,000 bytes or more."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = clean.unique_rows(table, warehouse.raw(table))._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(plan))]
+    assert sizes and max(sizes) < 8000

@@ -86,3 +86,18 @@ def test_one_topic_per_table(spark):
 
     topics = all_messages(raw_tables(spark, SF_DIR)).select("topic").distinct().collect()
     assert {t.topic for t in topics} == set(RAW_COLUMNS)
+
+
+def test_a_message_is_parsed_once(spark):
+    messages = spark.createDataFrame([("employees", '{"Name":"a"}')], "topic string, value string")
+    for df in (from_messages(messages, "employees"), from_messages(messages, "employees").filter("Name is not null"), rejected(messages)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_a_topic_reads_its_own_folder(spark):
+    source, raw, checkpoint = (new_folder(spark, n) for n in ("messages", "raw", "stream"))
+    spark.createDataFrame([(t, "{}") for t in RAW_COLUMNS], "topic string, value string").write.parquet(source)
+    land_and_wait(read_message_files(spark, source), raw, checkpoint)
+    plan = read_landed(spark, raw, "stores")._jdf.queryExecution().executedPlan().toString()
+    partition_filters = plan[plan.index("PartitionFilters: [") :].split("]")[0]
+    assert "status" in partition_filters and "topic" in partition_filters
