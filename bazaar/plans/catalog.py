@@ -21,7 +21,7 @@ from bazaar.functions.sanitize import sanitize_numeric
 from bazaar.functions.text import null_placeholders
 from bazaar.operators import clean, dedup, fact, outliers, promotions
 from bazaar.operators.ranking import area_under_roc
-from bazaar.plans import churn, explore, features, kpi, reports, segments, serving, views
+from bazaar.plans import churn, explore, features, kpi, reports, rollup, segments, serving, views
 from bazaar.plans.warehouse import DIMENSIONS, Warehouse, open_warehouse
 from bazaar.sources import adapter
 from bazaar.sources.raw import read_all_landed, read_csv, read_rejected
@@ -205,16 +205,33 @@ def _date_parts(w: Warehouse) -> DataFrame:
     return add_date_parts(_transactions(w).select(*LINE_KEY, "date"))
 
 
-def _fact_incremental(w: Warehouse) -> DataFrame:
-    """The fact after its messages came in two deliveries, copies of a line in either or both."""
+def _followed(w: Warehouse) -> FactFollower:
+    """A fact whose messages came in two deliveries, copies of a line in either or both."""
     messages = to_messages(adapter.transactions(w.spark, w.sf_dir), "transactions")
     second = F.pmod(F.xxhash64("value"), F.lit(3)) == 0
-    published, out = new_folder(w.spark, "messages"), new_folder(w.spark, "followed")
+    published, out = f"{w.root}/delivered", f"{w.root}/followed"
     follower = FactFollower(w.spark, {t: w.clean(t) for t in DIMENSIONS}, out)
     for part in (messages.filter(~second), messages.filter(second)):
         part.write.mode("append").parquet(published)
         follower.follow_and_wait(read_message_files(w.spark, published), f"{out}/_checkpoint")
-    return follower.fact()
+    return follower
+
+
+def _follower(w: Warehouse) -> FactFollower:
+    return w.once("followed", lambda: _followed(w))
+
+
+def _rollup(report: Callable[[DataFrame], DataFrame]) -> Callable[[Warehouse], DataFrame]:
+    return lambda w: report(_follower(w).rollup("month_sums"))
+
+
+def _distinct_sketches(w: Warehouse) -> DataFrame:
+    """Exact distinct counts per year, and whether the merged sketches of its months are within four standard errors."""
+    guessed = rollup.distinct_counts(_follower(w).rollup("month_sketches"), "purchase_year").toDF("year", *rollup.COUNTED)
+    exact = w.fact().groupBy("purchase_year").agg(*(F.count_distinct(c).alias(f"exact_{n}") for n, c in rollup.COUNTED.items()))
+    close = {n: F.abs(F.col(n) - F.col(f"exact_{n}")) <= 1 + 4 * rollup.STANDARD_ERROR * F.col(f"exact_{n}") for n in rollup.COUNTED}
+    both = exact.join(guessed, F.col("purchase_year").eqNullSafe(F.col("year")))
+    return both.select("purchase_year", *(F.col(f"exact_{n}").alias(n) for n in close), *(c.alias(f"{n}_close") for n, c in close.items()))
 
 
 def _partition_counts(w: Warehouse) -> DataFrame:
@@ -380,7 +397,13 @@ FROM_WAREHOUSE: dict[str, Callable[[Warehouse], DataFrame]] = {
     "profit_usd": _profit,
     "date_parts": _date_parts,
     "fact_transactions": lambda w: w.build_fact(),
-    "fact_incremental": _fact_incremental,
+    "fact_incremental": lambda w: _follower(w).fact(),
+    "rollup_sales_profit": _rollup(rollup.sales_profit),
+    "rollup_by_year": _rollup(rollup.by_year),
+    "rollup_by_month": _rollup(rollup.by_month),
+    "rollup_by_category": _rollup(rollup.by_category),
+    "rollup_totals": _rollup(rollup.totals),
+    "distinct_sketches": _distinct_sketches,
     "fact_partition_counts": _partition_counts,
     "fact_view_sql": _fact_view,
     "customer_features": _features,
@@ -459,6 +482,7 @@ OVER_FACT: dict[str, Callable[[DataFrame], DataFrame]] = {
     "kpi_age_group": kpi.age_groups,
     "kpi_filtered": lambda sales: kpi.filtered(sales, year=1997, country="NATION_10"),
     "kpi_drilldown": kpi.drilldown,
+    "report_filtered": lambda sales: reports.report(sales.filter(fact.in_period(1997, "Brand#11")), "store_country_sales"),
     "serve_summary": serving.summary,
 }
 

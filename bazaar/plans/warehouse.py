@@ -37,6 +37,7 @@ class Warehouse:
         self._sources = raw
         self._land = land
         self._written: dict[str, DataFrame] = {}
+        self._made: dict[str, object] = {}
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._land:
@@ -50,6 +51,12 @@ class Warehouse:
             self._written[name] = self.spark.read.parquet(path)
         return self._written[name]
 
+    def once(self, name: str, make: Callable[[], object]) -> object:
+        """What ``make`` returned when it was first asked for under this name."""
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
+
     def written(self, name: str) -> bool:
         return name in self._written
 
@@ -79,6 +86,7 @@ class Warehouse:
     def close(self) -> None:
         """Remove every table that was written; whoever still reads one fails, and the next use writes anew."""
         self._written.clear()
+        self._made.clear()
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -549,6 +549,18 @@ ORACLE = {
     ),
     "fact_transactions": sql(f"SELECT {plain(FACT_COLUMNS)} FROM fact"),
     "fact_incremental": sql(f"SELECT {plain(FACT_COLUMNS)} FROM fact"),
+    "rollup_sales_profit": sql(f"""SELECT {total('line_total_usd')} AS total_revenue_usd,
+        {total('profit_usd')} AS total_profit_usd, {mean('line_total_usd')} AS average_transaction_value_usd FROM fact"""),
+    "rollup_by_year": grouped("purchase_year", f"{REVENUE}, {PROFIT}, {UNITS}"),
+    "rollup_by_month": grouped("purchase_year, purchase_month", f"{REVENUE}, {PROFIT}, {UNITS}"),
+    "rollup_by_category": grouped("product_category", f"{REVENUE}, {PROFIT}, {UNITS}"),
+    "rollup_totals": sql(f"""SELECT count(*) AS total_transactions, {total('line_total_usd')} AS total_revenue,
+        {total('profit_usd')} AS total_profit, {quotient('sum(profit_usd)', 'sum(line_total_usd)')} AS profit_margin FROM fact"""),
+    "distinct_sketches": grouped("purchase_year", """count(DISTINCT customer_id) AS customers,
+        count(DISTINCT invoice_id) AS invoices, count(DISTINCT product_id) AS products, true AS customers_close,
+        true AS invoices_close, true AS products_close"""),
+    "report_filtered": sql(f"""SELECT store_country, {REVENUE}, {PROFIT}, count(DISTINCT store_id) AS stores FROM fact
+        WHERE purchase_year = 1997 AND product_sub_category = 'Brand#11' GROUP BY ALL"""),
     "fact_partition_counts": grouped("purchase_year, purchase_month", "count(*) AS lines"),
     "fact_view_sql": grouped("product_category, purchase_year", f"{REVENUE}, {UNITS}"),
     # sales reports

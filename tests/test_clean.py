@@ -1,3 +1,4 @@
+import random
 import re
 from decimal import Decimal
 
@@ -196,3 +197,13 @@ def test_cleaning_is_compiled(spark, warehouse, table):
     debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(plan))]
     assert sizes and max(sizes) < 8000
+
+
+@pytest.mark.parametrize("factor", [1.5, 3.0])
+def test_quartiles_are_exact_beyond_ten_thousand_rows(spark, factor):
+    rng = random.Random(9)
+    values = sorted(Decimal(rng.randrange(10**7)).scaleb(-2) for _ in range(30_001)) + [Decimal("0.5")] * 4_000
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)] * 7, "v decimal(12,2)")
+    values.sort()
+    q1, q3 = (float(values[-(-k * len(values) // 4) - 1]) for k in (1, 3))
+    assert tuple(outliers.iqr_bounds(rows, "v", factor).first()) == (q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))

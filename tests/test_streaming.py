@@ -6,7 +6,7 @@ from bazaar.contract import RAW_COLUMNS, raw_schema
 from bazaar.sources.raw import read_csv, read_landed, read_rejected
 from bazaar.sources.workspace import new_folder
 from bazaar.streaming.land import land_and_wait
-from bazaar.streaming.messages import all_messages, from_messages, read_message_files, rejected, to_messages
+from bazaar.streaming.messages import all_messages, from_messages, read_kafka, read_message_files, rejected, send_kafka, to_messages
 
 
 def test_csv_header_quotes_and_bytes(spark, tmp_path):
@@ -101,3 +101,41 @@ def test_a_topic_reads_its_own_folder(spark):
     plan = read_landed(spark, raw, "stores")._jdf.queryExecution().executedPlan().toString()
     partition_filters = plan[plan.index("PartitionFilters: [") :].split("]")[0]
     assert "status" in partition_filters and "topic" in partition_filters
+
+
+class Recorder:
+    """Stands for the reader or writer of a connector that is not installed here."""
+
+    def __init__(self):
+        self.said = {}
+
+    readStream = property(lambda self: self)
+    write = property(lambda self: self)
+
+    def format(self, name):
+        self.said["format"] = name
+        return self
+
+    def option(self, key, value):
+        self.said[key] = value
+        return self
+
+    def load(self):
+        return self
+
+    save = load
+
+    def select(self, *columns):
+        self.said["columns"] = len(columns)
+        return self
+
+
+def test_kafka_options(spark):
+    stream = read_kafka(Recorder(), "a:1,b:2", per_trigger=5)
+    assert stream.said == {
+        "format": "kafka", "kafka.bootstrap.servers": "a:1,b:2", "subscribe": "customers,products,stores,employees,discounts,transactions",
+        "startingOffsets": "earliest", "maxOffsetsPerTrigger": 5, "columns": 2,
+    }
+    sent = Recorder()
+    send_kafka(sent, "a:1")
+    assert sent.said == {"format": "kafka", "kafka.bootstrap.servers": "a:1"}
