@@ -7,8 +7,10 @@ eight million times. Sets that share a band are candidates, and a link is what e
 
 Candidates are never expanded to all pairs of a band's group. Each set is first compared with the smallest one it meets. From
 then on a group only matters while it holds more than one component: the members outside its largest component are compared,
-PIVOTS of them a round, with the members of other components, and leave the group. So copies of one text, however many, cost
-a comparison each, and no candidates end in different components without having been compared. Equal sets are one node.
+one in the first rounds and up to PIVOTS later, with the members of other components, and leave the group. So copies of one
+text, however many, cost a comparison each, and no candidates end in different components without having been compared. Pairs
+whose parity sketches differ in more bits than similar sets can differ in shingles are not similar, and are settled without
+their texts. Equal sets are one node.
 """
 
 from __future__ import annotations
@@ -29,7 +31,11 @@ ROWS, BANDS = 5, 40
 PIVOTS = 64
 AT_ONCE = 1 << 16  # shingles of one vectorised step
 SIGMA, PI = np.uint32(0x5BD1E995), np.uint32(0x27D4EB2F)
-MARK = T.StructType([T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+SKETCH_BITS = 10  # a sketch has 2^10 bits
+MARK = T.StructType(
+    [T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType())]
+    + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("sketch", "bands")]
+)
 BATCH_SETTING, VERIFY_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 64
 
 
@@ -79,16 +85,34 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def digest(found: list[bytes]) -> bytes:
+    """A name for a sorted set; equal sets have equal names."""
+    return hashlib.blake2b(b"\n".join(found), digest_size=16).digest()
+
+
+def sketch(positions: np.ndarray) -> np.ndarray:
+    """The parity of how many positions fall in each of 2^SKETCH_BITS arcs, as 64-bit words. What two sets share cancels out, so
+    their sketches differ in no more bits than the sets have different members."""
+    arcs = np.bincount(positions >> np.uint32(32 - SKETCH_BITS), minlength=1 << SKETCH_BITS)
+    return np.packbits((arcs & 1).astype(bool)).view(np.int64)
+
+
+@F.pandas_udf(T.BinaryType())
+def _digests(texts: pd.Series) -> pd.Series:
+    return pd.Series([digest(sorted(shingles(text))) for text in texts], dtype=object)
+
+
 @F.pandas_udf(MARK)
 def _marks(texts: pd.Series) -> pd.DataFrame:
     n, digests, positions = [], [], []
     for text in texts:
         found = sorted(shingles(text))
         n.append(len(found))
-        digests.append(hashlib.blake2b(b"\n".join(found), digest_size=16).digest())
+        digests.append(digest(found))
         positions.append(np.fromiter(map(xxhash.xxh32_intdigest, found), np.uint32, len(found)))
     bands = iter(band_keys(signatures([p for p in positions if len(p)])))
-    return pd.DataFrame({"n": n, "digest": digests, "bands": [next(bands) if k else np.zeros(0, np.int64) for k in n]})
+    sketches = list(map(sketch, positions))
+    return pd.DataFrame({"n": n, "digest": digests, "sketch": sketches, "bands": [next(bands) if k else np.zeros(0, np.int64) for k in n]})
 
 
 def similar(a: int, b: int, shared: int, percent: int = SIMILAR) -> bool:
@@ -100,6 +124,19 @@ def _same_size(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * SIMILAR
 
 
+def _may_be_similar(n: Column, sketch: Column, m: Column, other: Column) -> Column:
+    """False only if sets of these sizes and sketches cannot be similar: of a + b members, similar sets differ in at most
+    (100 - SIMILAR) / (100 + SIMILAR), a ninth."""
+    apart = F.aggregate(F.zip_with(sketch, other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, bits: total + bits)
+    return _same_size(n, m) & (apart * (100 + SIMILAR) <= (n + m) * (100 - SIMILAR))
+
+
+def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    for side, c in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(c)), side)
+    return pairs.where(_may_be_similar(F.col("n_x"), F.col("x"), F.col("n_y"), F.col("y"))).select("a", "b")
+
+
 def _confirm(batches):
     """Pairs whose full sets are similar; pairs come sorted by their first node, whose set is kept meanwhile."""
     node, kept = None, set()
@@ -134,22 +171,24 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     return written(comp.join(reach, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "minhash-components")
 
 
-def _next_pairs(live: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From live (key, node, n): the groups that still hold several components, their pivots, and the pairs to compare."""
+def _next_pairs(live: DataFrame, comp: DataFrame, nodes: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From live (key, node): the groups that still hold several components, their pivots, and the pairs to compare."""
     rows = written(live.join(comp, "node"), "minhash-live")
     counts = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
     main = counts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1")
     rows = written(rows.join(main.select("key", F.col("m.comp").alias("main")), "key"), "minhash-live")
     place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-    pivots = written(rows.where("comp <> main").withColumn("place", place).where(F.col("place") <= PIVOTS).drop("place", "main"), "minhash-pivots")
-    others = rows.join(pivots.select("key", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "comp")]), "key")
-    others = others.where((F.col("comp") != F.col("p_comp")) & _same_size(F.col("n"), F.col("p_n")))
+    pivots = rows.where("comp <> main").withColumn("place", place).where(F.col("place") <= most).select("key", "node", "comp")
+    pivots, known = written(pivots, "minhash-pivots"), nodes.select("node", "n", "sketch")
+    sides = pivots.join(known, "node").select("key", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "comp", "sketch")])
+    may = _may_be_similar(F.col("n"), F.col("sketch"), F.col("p_n"), F.col("p_sketch"))
+    others = rows.join(known, "node").join(sides, "key").where((F.col("comp") != F.col("p_comp")) & may)
     pairs = others.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
-    return rows.select("key", "node", "n"), pivots.select("key", "node"), pairs
+    return rows.select("key", "node"), pivots.select("key", "node"), pairs
 
 
 def node_components(nodes: DataFrame, texts_of) -> DataFrame:
-    """(node, comp) of the nodes that share a band with another; nodes has node, n, bands.
+    """(node, comp) of the nodes that share a band with another; nodes has node, n, sketch, bands.
 
     texts_of(candidates) gives (node, text) for the one-column table of these nodes.
     """
@@ -160,15 +199,15 @@ def node_components(nodes: DataFrame, texts_of) -> DataFrame:
     texts = written(texts_of(comp.select("node")), "minhash-texts")
     met_first = met.where(F.col("first.node") < F.col("node")).where(_same_size(F.col("n"), F.col("first.n")))
     pairs = met_first.groupBy("node").agg(F.min("first.node").alias("a")).select("a", F.col("node").alias("b"))
-    live, tried = met.select("key", "node", "n"), written(pairs, "minhash-pairs")
+    live, tried, most = met.select("key", "node"), written(_plausible(pairs, nodes), "minhash-pairs"), 1
     comp = _merged(comp, confirmed(tried, texts))
     while True:
-        live, pivots, pairs = _next_pairs(live, comp)
+        live, pivots, pairs = _next_pairs(live, comp, nodes, most)
         if live.isEmpty():
             return comp
         new = written(pairs.join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
         comp = _merged(comp, confirmed(new, texts))
-        live, tried = live.join(pivots, ["key", "node"], "left_anti"), tried.union(new)
+        live, tried, most = live.join(pivots, ["key", "node"], "left_anti"), tried.union(new), min(2 * most, PIVOTS)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,17 +220,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     its component has no key at all. Repeated rows are equal sets. Other columns are ignored; texts are read whole.
     """
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    marks = written(rows.withColumn("mark", _marks("text")).select("id", "text", "mark.*"), "minhash-marks")
-    sets = marks.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    marks = written(rows.withColumn("mark", _marks("text")).select("id", "mark.*"), "minhash-marks")
+    sets = marks.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("n", "sketch", "bands")])
     nodes = written(sets.withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
 
     def texts_of(candidates: DataFrame) -> DataFrame:
-        """One of the rows with the least key of each node: equal sets stand for each other."""
+        """One of the rows with the least key of each node: equal sets stand for each other. Keys may repeat, so the rows that
+        have such a key are marked again."""
         wanted = nodes.join(candidates, "node", "left_semi").select("node", F.col("digest").alias("d"), "least")
-        found = marks.join(wanted, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("least")))
+        some = rows.join(wanted, F.col("id").eqNullSafe(F.col("least")), "left_semi").withColumn("digest", _digests("text"))
+        found = some.join(wanted, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("least")))
         return found.select("node", "text").dropDuplicates(["node"])
 
-    reach = node_components(nodes.select("node", "n", "bands"), texts_of)
+    reach = node_components(nodes.select("node", "n", "sketch", "bands"), texts_of)
     reach = nodes.select("node", "digest", "least").join(reach, "node", "left").select("digest", "least", F.coalesce("comp", "node").alias("comp"))
     reach = written(reach, "minhash-reach")
     best = reach.groupBy("comp").agg(F.min("least").alias("component_id"))

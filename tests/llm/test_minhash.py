@@ -62,6 +62,16 @@ def test_signature_is_circulant_and_estimates():
     assert all((whole[i] == minhash.signatures([m], 8)[0]).all() for i, m in enumerate(many))
 
 
+def test_sketches_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**32, 4000, dtype=np.uint64).astype(np.uint32)
+    for shared, own in ((0, 1), (300, 5), (300, 60), (3000, 500)):
+        a, b = pool[: shared + own], np.concatenate([pool[:shared], pool[-own:]])
+        apart = int(np.bitwise_count((minhash.sketch(a) ^ minhash.sketch(b)).view(np.uint64)).sum())
+        assert apart <= 2 * own and (2 * own > 200 or apart > own)
+    assert not minhash.sketch(pool[:0]).any() and len(minhash.sketch(pool)) == 16
+
+
 def test_shingles():
     for text in ("", " \n", "A", "a b", "A B a b", "Ä ä\x1cx y\x85z", "a\tb\x0bc\x0cd\re"):
         assert {tuple(s.decode().split(" ")) for s in minhash.shingles(text)} == plain_set(text), text
