@@ -207,7 +207,7 @@ def node_components(nodes: DataFrame, texts_of) -> DataFrame:
             return comp
         new = written(pairs.join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
         comp = _merged(comp, confirmed(new, texts))
-        live, tried, most = live.join(pivots, ["key", "node"], "left_anti"), tried.union(new), min(2 * most, PIVOTS)
+        live, tried, most = live.join(pivots, ["key", "node"], "left_anti"), tried.union(new), min(8 * most, PIVOTS)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
