@@ -172,7 +172,7 @@ def quality_report(raw: dict[str, DataFrame]) -> DataFrame:
     parts = []
     for table in TABLES:
         rule = RULES[table]
-        typed = typed_rows(table, raw[table])
+        typed = rule.typed(raw[table])  # not typed_rows: only the columns that rules and key read are worked out
         valid = F.coalesce(rule.valid(), F.lit(False))
         no_id = ~_present(*rule.ids)
         key = F.struct(*(rule.key or typed.columns))
