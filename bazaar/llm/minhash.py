@@ -6,9 +6,10 @@ Five coordinates make a band and forty bands a signature, so two sets at the wan
 eight million times. Sets that share a band are candidates, and a link is what exact sets confirm.
 
 Candidates are never expanded to all pairs of a band's group. Each set is first compared with the smallest one it meets. From
-then on a group only matters while it holds more than one component: the members outside its largest component are compared,
-one in the first rounds and up to PIVOTS later, with the members of other components, and leave the group. So copies of one
-text, however many, cost a comparison each, and no candidates end in different components without having been compared. Pairs
+then on a group only matters while it holds more than one component: the members outside its largest component are compared
+with the best-linked members of that one (HUBS), since a single link settles a member, and those that are still outside, one a
+round first and up to PIVOTS later, with all members of other components, and leave the group. So copies of one text, however
+many, cost a few comparisons each, and no candidates end in different components without having been compared. Pairs
 whose parity sketches differ in more bits than similar sets can differ in shingles are not similar, and are settled without
 their texts. Equal sets are one node.
 """
@@ -29,6 +30,7 @@ from bazaar.llm.common import components, mix, written
 WORDS, SIMILAR = 2, 80  # words of a shingle, percent
 ROWS, BANDS = 5, 40
 PIVOTS = 64
+HUBS = (2, 8)  # of a group, in one round each, before the pivots
 AT_ONCE = 1 << 16  # shingles of one vectorised step
 SIGMA, PI = np.uint32(0x5BD1E995), np.uint32(0x27D4EB2F)
 SKETCH_BITS = 10  # a sketch has 2^10 bits
@@ -171,20 +173,41 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     return written(comp.join(reach, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "minhash-components")
 
 
-def _next_pairs(live: DataFrame, comp: DataFrame, nodes: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From live (key, node): the groups that still hold several components, their pivots, and the pairs to compare."""
+def _open_groups(live: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, node, comp, main, ...) of live (key, node) in the groups that still hold several components; main is the largest of
+    its group. Further columns of comp are kept."""
     rows = written(live.join(comp, "node"), "minhash-live")
     counts = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
     main = counts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1")
-    rows = written(rows.join(main.select("key", F.col("m.comp").alias("main")), "key"), "minhash-live")
-    place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-    pivots = rows.where("comp <> main").withColumn("place", place).where(F.col("place") <= most).select("key", "node", "comp")
-    pivots, known = written(pivots, "minhash-pivots"), nodes.select("node", "n", "sketch")
-    sides = pivots.join(known, "node").select("key", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "comp", "sketch")])
+    return written(rows.join(main.select("key", F.col("m.comp").alias("main")), "key"), "minhash-live")
+
+
+def _across(rows: DataFrame, chosen: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct pairs of rows with the chosen ones of their group that are of another component and may be similar."""
+    known = nodes.select("node", "n", "sketch")
+    sides = chosen.join(known, "node").select("key", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "comp", "sketch")])
     may = _may_be_similar(F.col("n"), F.col("sketch"), F.col("p_n"), F.col("p_sketch"))
     others = rows.join(known, "node").join(sides, "key").where((F.col("comp") != F.col("p_comp")) & may)
-    pairs = others.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
-    return rows.select("key", "node"), pivots.select("key", "node"), pairs
+    return others.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
+
+
+def _calls(live: DataFrame, comp: DataFrame, links: DataFrame, nodes: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The groups that still hold several components, and pairs of their members outside the largest one with those ``most``
+    members of it that have most links."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    rows = _open_groups(live, comp.join(ends, "node", "left"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc_nulls_last("degree"), "node"))
+    hubs = rows.where("comp = main").withColumn("place", place).where(F.col("place") <= most).select("key", "node", "comp")
+    return rows.select("key", "node"), _across(rows.where("comp <> main").select("key", "node", "comp"), hubs, nodes)
+
+
+def _next_pairs(live: DataFrame, comp: DataFrame, nodes: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From live (key, node): the groups that still hold several components, their pivots, and the pairs to compare."""
+    rows = _open_groups(live, comp)
+    place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+    pivots = rows.where("comp <> main").withColumn("place", place).where(F.col("place") <= most).select("key", "node", "comp")
+    pivots = written(pivots, "minhash-pivots")
+    return rows.select("key", "node"), pivots.select("key", "node"), _across(rows.select("key", "node", "comp"), pivots, nodes)
 
 
 def node_components(nodes: DataFrame, texts_of) -> DataFrame:
@@ -200,7 +223,13 @@ def node_components(nodes: DataFrame, texts_of) -> DataFrame:
     met_first = met.where(F.col("first.node") < F.col("node")).where(_same_size(F.col("n"), F.col("first.n")))
     pairs = met_first.groupBy("node").agg(F.min("first.node").alias("a")).select("a", F.col("node").alias("b"))
     live, tried, most = met.select("key", "node"), written(_plausible(pairs, nodes), "minhash-pairs"), 1
-    comp = _merged(comp, confirmed(tried, texts))
+    links = confirmed(tried, texts)
+    comp = _merged(comp, links)
+    for hubs in HUBS:
+        live, pairs = _calls(live, comp, links, nodes, hubs)
+        new = written(pairs.join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
+        found = confirmed(new, texts)
+        comp, links, tried = _merged(comp, found), links.union(found), tried.union(new)
     while True:
         live, pivots, pairs = _next_pairs(live, comp, nodes, most)
         if live.isEmpty():
