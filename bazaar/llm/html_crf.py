@@ -22,11 +22,14 @@ from pyspark.sql import functions as F
 from bazaar.llm.common import chunks
 
 # Elements of HTML. RAW ones end at their end tag or with the page; those of CLOSED go with what they hold if their
-# end tag comes before the next of their name, else they are open elements like any other.
+# end tag comes before the next of their name, else they are open elements like any other. UNSEEN ones are never shown, wherever
+# they stand, and leave no gap: a title (the tags of its head may be left out) and the source of a formula.
 RAW = "script|style"
-CLOSED = "noscript|template|iframe|svg|math|object|select|textarea|button"
+CLOSED = "noscript|template|iframe|svg|object|select|textarea|button"
+UNSEEN = "title|annotation|annotation-xml"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q s samp small span strike strong sub sup time tt u var ruby rt rp".split())
+FORMULA = "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics"
+INLINE = frozenset(FORMULA.split()) | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q s samp small span strike strong sub sup time tt u var ruby rt rp".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = frozenset("ul ol dl table div section article main aside nav header footer body form".split())
 # What may stand in a head, which goes on over it; its end tag may be left out. (No group in it: re fails on those in possessive
@@ -41,6 +44,8 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     rf"|<(?P<closed>{CLOSED})(?=[\s/>])[^>]*>[^<]*+(?:<(?!/?(?P=closed)[\s/>])[^<]*+)*+</(?P=closed)\s*>"
+    rf"|<(?P<unseen>{UNSEEN})(?=[\s/>])[^>]*>[^<]*+(?:<(?!/?(?:(?P=unseen)|head|body)[\s/>])[^<]*+)*+</(?P=unseen)\s*>"
+    r"|<title(?=[\s/>])[^>]*>[^<]*+"
     rf"|<(?P<head>head)(?=[\s/>])[^>]*>(?:{IN_HEAD})*+(?:</head\s*>)?"
     r"|<(?P<slash>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
     r"|<[!?/][^>]*>",

@@ -84,3 +84,12 @@ def test_left_out_end_tags(field):
         assert field.text(body.format(f"<{tag} class=x>") + f"<footer><{tag}>no</{tag}></footer>") == whole
         assert field.text(body.format(f"<{tag}>no</{tag}>")) == whole
     assert H.blocks("<p>a<script>no") == [(("p",), "a ", 0)]
+
+
+def test_titles_and_formulas(field):
+    body = "<article><h1>Head</h1><p>One two three, so {} holds.</p></article>"
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding='tex'>x=\\frac{1}{1}</annotation></semantics></math>"
+    for start in ("<!doctype html><title>My title here</title>", "<title>My title here</title><meta charset=utf-8>", "<html><title lang=en>My title here", "<body><title>a <b> c</title>", "<head><title>t</title></head>"):
+        assert field.text(start + body.format(formula)) == "Head\nOne two three, so x=1 holds."
+    assert [H.clean(r) for _, r, _ in H.blocks("<p>a <math><mi>b</mi></math> c")] == ["a b c"]
+    assert H.blocks("<title>no") == []
