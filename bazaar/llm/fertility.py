@@ -98,24 +98,31 @@ def script(text: str) -> int:
     return int(totals.argmax())
 
 
+def _alike(rows: np.ndarray, doc: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For every window but the last: does the next one hold the same words of the same document."""
+    same = doc[starts[1:]] == doc[starts[:-1]]
+    for k in range(WINDOW):
+        same &= rows[starts[1:] + k] == rows[starts[:-1] + k]
+    return same
+
+
 def repeated(rows: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For every word: is it in a window of WINDOW words that its document has twice or more. doc is sorted."""
     n, out = len(rows) - WINDOW + 1, np.zeros(len(rows), bool)
     if n < 2:
         return out
     whole = np.flatnonzero(doc[:n] == doc[WINDOW - 1 :])
+    if len(whole) < 2:
+        return out
     key = mix(doc[whole].astype(np.uint64))
     for k in range(WINDOW):
         key = mix(key + rows[whole + k].astype(np.uint64))
     order = np.argsort(key, kind="stable")
-    whole, key = whole[order], key[order]
-    twin = np.zeros(len(whole) + 1, bool)
-    twin[1:-1] = key[1:] == key[:-1]
-    at = np.flatnonzero(twin[1:-1])
-    for k in range(WINDOW):
-        if not (rows[whole[at] + k] == rows[whole[at + 1] + k]).all() or not (doc[whole[at]] == doc[whole[at + 1]]).all():
-            raise ArithmeticError("two different windows have one 64-bit key")
-    hit = whole[twin[1:] | twin[:-1]]
+    same = _alike(rows, doc, whole[order])
+    if (same != (key[order][1:] == key[order][:-1])).any():  # two different windows have one key: sort by the words themselves
+        order = np.lexsort([*(rows[whole + k] for k in range(WINDOW)), doc[whole]])
+        same = _alike(rows, doc, whole[order])
+    hit = whole[order][np.r_[same, False] | np.r_[False, same]]
     for k in range(WINDOW):
         out[hit + k] = True
     return out

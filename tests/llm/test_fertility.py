@@ -49,3 +49,13 @@ def test_frame(spark):
 
 def test_scripts():
     assert [fertility.script(t) for t in ("abc", "é", "привет", "αβγδ", "日本語", "")] == [0, 0, 1, 2, 3, 0]
+
+
+def test_windows_of_one_key(monkeypatch):
+    """Keys of few values: different windows meet, and what counts are the words."""
+    rng = np.random.default_rng(3)
+    rows, doc = rng.integers(0, 3, 900), np.sort(rng.integers(0, 4, 900))
+    want = fertility.repeated(rows, doc)
+    assert 0 < want.sum() < 900
+    monkeypatch.setattr(fertility, "mix", lambda x: x % np.uint64(5))
+    assert (fertility.repeated(rows, doc) == want).all()
