@@ -7,8 +7,8 @@ eight million times. Sets that share a band are candidates, and a link is what e
 
 Candidates are never expanded to all pairs of a band's group. Each set is first compared with the smallest one it meets. From
 then on a group only matters while it holds more than one component: the members outside its largest component are compared
-with the best-linked members of that one (HUBS), since a single link settles a member, and those that are still outside, one a
-round first and up to PIVOTS later, with all members of other components, and leave the group. So copies of one text, however
+with the best-linked members of that one (HUBS), since a single link settles a member, and those that are still outside, up to
+PIVOTS a round, with all members of other components, and leave the group. So copies of one text, however
 many, cost a few comparisons each, and no candidates end in different components without having been compared. Pairs
 whose parity sketches differ in more bits than similar sets can differ in shingles are not similar, and are settled without
 their texts. Equal sets are one node.
@@ -222,7 +222,7 @@ def node_components(nodes: DataFrame, texts_of) -> DataFrame:
     texts = written(texts_of(comp.select("node")), "minhash-texts")
     met_first = met.where(F.col("first.node") < F.col("node")).where(_same_size(F.col("n"), F.col("first.n")))
     pairs = met_first.groupBy("node").agg(F.min("first.node").alias("a")).select("a", F.col("node").alias("b"))
-    live, tried, most = met.select("key", "node"), written(_plausible(pairs, nodes), "minhash-pairs"), 1
+    live, tried = met.select("key", "node"), written(_plausible(pairs, nodes), "minhash-pairs")
     links = confirmed(tried, texts)
     comp = _merged(comp, links)
     for hubs in HUBS:
@@ -231,12 +231,12 @@ def node_components(nodes: DataFrame, texts_of) -> DataFrame:
         found = confirmed(new, texts)
         comp, links, tried = _merged(comp, found), links.union(found), tried.union(new)
     while True:
-        live, pivots, pairs = _next_pairs(live, comp, nodes, most)
+        live, pivots, pairs = _next_pairs(live, comp, nodes, PIVOTS)
         if live.isEmpty():
             return comp
         new = written(pairs.join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
         comp = _merged(comp, confirmed(new, texts))
-        live, tried, most = live.join(pivots, ["key", "node"], "left_anti"), tried.union(new), min(8 * most, PIVOTS)
+        live, tried = live.join(pivots, ["key", "node"], "left_anti"), tried.union(new)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
