@@ -9,9 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 from bazaar.streaming.messages import decodable
 
 
-def land(messages: DataFrame, root: str, checkpoint: str, rows_per_file: int = 5_000_000) -> StreamingQuery:
+def land(messages: DataFrame, root: str, checkpoint: str, rows_per_file: int = 1_000_000) -> StreamingQuery:
     """Write JSON lines to ``root/status=ok/topic=<t>``; values that are no JSON object go to ``status=rejected``.
 
+    Files are compressed, because every line repeats the names of its fields. One task reads a compressed file, so a file holds
+    at most ``rows_per_file`` lines.
+
     Takes what is there and stops. The checkpoint and the sink's log make every message land once: a second run over
     the same input adds nothing, and a run after a crash goes on where the last complete batch ended.
     """
@@ -22,6 +25,7 @@ def land(messages: DataFrame, root: str, checkpoint: str, rows_per_file: int = 5
         .writeStream.format("text")
         .partitionBy("status", "topic")
         .option("maxRecordsPerFile", rows_per_file)
+        .option("compression", "gzip")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start(root)

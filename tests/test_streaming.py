@@ -1,8 +1,10 @@
+import glob
 import json
+import os
 
 from pyspark.sql import functions as F
 
-from bazaar.contract import RAW_COLUMNS, raw_schema
+from bazaar.contract import RAW_COLUMNS, raw_schema, to_snake
 from bazaar.sources.raw import read_csv, read_landed, read_rejected
 from bazaar.sources.workspace import new_folder
 from bazaar.streaming.land import land_and_wait
@@ -80,6 +82,20 @@ def test_landing_is_exactly_once(spark):
     assert spread_over_lines.name is None and spread_over_lines.position == "a\nb"
 
 
+def test_landed_lines_take_less_room_than_their_text(spark):
+    """Names of fields are in every line: uncompressed, the raw zone is several times the rows it holds."""
+    source, raw, checkpoint = (new_folder(spark, n) for n in ("messages", "raw", "stream"))
+    rows = spark.range(20_000).select(*(F.col("id").cast("string").alias(c) for c in RAW_COLUMNS["transactions"]))
+    messages = to_messages(rows, "transactions")
+    messages.write.parquet(source)
+    text = messages.agg(F.sum(F.octet_length("value") + 1)).first()[0]
+    land_and_wait(read_message_files(spark, source), raw, checkpoint)
+    files = glob.glob(f"{raw}/status=ok/topic=transactions/part-*")
+    assert 0 < sum(os.path.getsize(f) for f in files) < text / 3
+    assert read_landed(spark, raw, "transactions").exceptAll(to_snake(rows)).count() == 0
+    assert read_landed(spark, raw, "transactions").count() == 20_000
+
+
 def test_one_topic_per_table(spark):
     from bazaar.sources.adapter import raw_tables
     from tests.conftest import SF_DIR
