@@ -47,8 +47,8 @@ CONTEXT = {
 }
 NEAR = 40
 FEATURES = ("kind", "length", "digits", "letters", "blanks", "marks", "distinct", "said", "before", "after", "leading_zero", "groups", "form", "abroad", "ending", "spelled")
-#: Documents whose candidates may train the trees, candidates at most, and the precision that a threshold must reach.
-TRAINING_DOCS, TRAINING_ROWS, PRECISION = 4000, 40_000, 0.95
+#: The precision that a threshold must reach.
+PRECISION = 0.95
 
 Span = "struct<kind:int,start:int,stop:int,value:string,base:boolean>"
 
@@ -214,16 +214,12 @@ class Scorer:
         return self.score([F.element_at(at, i + 1) for i in range(len(FEATURES))]) >= least
 
 
-def train(docs: DataFrame, text: str = "text") -> Scorer:
-    """Boosted trees fitted on the candidates of at most about TRAINING_DOCS documents, dealt by a hash of their text, and on
-    those of EXAMPLES.
+def training_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(f, label, kind, base, n): the candidates of all documents and of EXAMPLES, equal ones as one row with their number.
 
     The label of a base match is whether its check passes, that of a looser span is ``labelled``; a looser one where a valid base
-    one lies is no candidate. A fifth of the looser candidates calibrates the thresholds.
+    one lies is no candidate.
     """
-    n = docs.count()
-    share = min(1.0, TRAINING_DOCS / max(1, n))
-    some = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def rows_of(texts: DataFrame) -> DataFrame:
         spans = texts.select("text", F.explode(candidates(F.col("text"))).alias("span"))
@@ -231,15 +227,21 @@ def train(docs: DataFrame, text: str = "text") -> Scorer:
         loose = labelled(F.col("span.kind"), F.col("span.value"), F.element_at("f", FEATURES.index("said") + 1))
         return spans.select("f", F.when(F.col("span.base"), 1.0).otherwise(loose.cast("double")).alias("label"), F.col("span.kind").alias("kind"), F.col("span.base").alias("base"))
 
-    rows = rows_of(some).limit(TRAINING_ROWS).union(rows_of(examples(docs.sparkSession)))
-    rows = written(rows, "pii-candidates").withColumn("part", F.pmod(F.xxhash64("f"), F.lit(5)))
-    counts = {r["label"]: r["n"] for r in rows.where("part > 0").groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(counts) < 2:
+    texts = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull())
+    rows = rows_of(texts).union(rows_of(examples(docs.sparkSession)))
+    return rows.groupBy("f", "label", "kind", "base").agg(F.count("*").cast("double").alias("n"))
+
+
+def train(docs: DataFrame, text: str = "text") -> Scorer:
+    """Boosted trees fitted on ``training_rows``, weighted by their numbers. A fifth of the rows, dealt by a hash of the features,
+    is held out of the fit; the looser candidates among them calibrate the thresholds."""
+    rows = written(training_rows(docs, text), "pii-candidates").withColumn("part", F.pmod(F.xxhash64("f"), F.lit(5)))
+    if rows.where("part > 0").select("label").distinct().count() < 2:
         return Scorer([], [], [None] * len(KINDS))
-    vectors = rows.select(array_to_vector("f").alias("features"), "label", "kind", "part", "base")
-    model = GBTClassifier(maxIter=8, maxDepth=4, seed=7, maxMemoryInMB=64).fit(vectors.where("part > 0"))
-    scored = model.transform(vectors.where("part = 0 and not base")).select("kind", "label", F.round(vector_to_array("probability")[1], 2).alias("p"))
-    table = scored.groupBy("kind", "p").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
+    vectors = rows.select(array_to_vector("f").alias("features"), "label", "kind", "part", "base", "n")
+    model = GBTClassifier(maxIter=8, maxDepth=4, seed=7, maxMemoryInMB=64, weightCol="n").fit(vectors.where("part > 0"))
+    scored = model.transform(vectors.where("part = 0 and not base")).select("kind", "label", "n", F.round(vector_to_array("probability")[1], 2).alias("p"))
+    table = scored.groupBy("kind", "p").agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("good")).collect()
     thresholds: list[float | None] = []
     for k in range(len(KINDS)):
         at = None

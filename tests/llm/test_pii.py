@@ -100,3 +100,15 @@ def test_hints_do_not_hide_base_matches(spark):
     assert len(plain(text)) == 1
     row = spark.createDataFrame([(text,)], "text string").select(F.filter(pii.candidates(F.col("text")), lambda s: s["base"]).alias("s")).first()
     assert [(s["kind"], s["start"], s["stop"]) for s in row["s"]] == [(3, 0, len(text))]
+
+
+def test_trees_and_thresholds_come_from_every_document(spark):
+    """More documents and candidates than a sample of a few thousand would hold; equal candidates count as often as they occur."""
+    n = 50_000
+    call = F.concat(F.lit("call 030 123 "), F.lpad((F.col("id") % 10_000).cast("string"), 4, "0"), F.lit(" or a@b.cc, no. "), F.col("id").cast("string"))
+    docs = spark.range(n).select(call.alias("text")).union(spark.createDataFrame([(None,), ("",)], "text string"))
+    spans = lambda texts: texts.select(F.explode(pii.candidates(F.col("text")))).count()
+    rows = pii.training_rows(docs)
+    assert rows.agg(F.sum("n")).first()[0] == spans(docs) + spans(pii.examples(spark))
+    assert rows.where("kind = 0 and base").agg(F.sum("n")).first()[0] == n
+    assert rows.count() < n
