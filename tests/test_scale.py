@@ -8,7 +8,7 @@ import pytest
 from bazaar.contract import TABLES, to_snake
 from bazaar.operators.fact import build_fact, fact_columns
 from bazaar.plans import catalog
-from bazaar.plans.warehouse import Warehouse
+from bazaar.plans.warehouse import PASSES, Warehouse
 from bazaar.sources import adapter
 from bazaar.sources.files import exists
 from bazaar.sources.sinks import ROW_GROUP_BYTES, write_fact, write_rows
@@ -86,3 +86,45 @@ def test_followed_deliveries_go(spark):
     assert followed.exceptAll(w.fact().select(followed.columns)).isEmpty()
     assert w.fact().select(followed.columns).exceptAll(followed).isEmpty()
     w.close()
+
+
+@pytest.fixture
+def unicast(spark):
+    """A warehouse in a session that broadcasts nothing, as if every table were large."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", "8")
+    session.conf.set("spark.sql.session.timeZone", "UTC")
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    raw = {name: to_snake(df) for name, df in adapter.raw_tables(session, SF_DIR).items()}
+    w = Warehouse(session, raw, new_folder(session, "warehouse"), sf_dir=SF_DIR)
+    yield w
+    w.close()
+
+
+def test_wide_lines_are_not_shuffled_for_large_dimensions(unicast, warehouse, fact):
+    assert unicast.passes() == list(PASSES) and warehouse.passes() == []
+    whole = unicast.build_fact()
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2  # of the join with the calendar, which does not grow with the lines
+    assert plan.count("SortMergeJoin") <= 1
+    rows = spark_rows(whole)
+    assert rows == spark_rows(fact.select(whole.columns))
+
+
+def test_tables_in_buckets_go_when_the_fact_is_written(unicast, fact):
+    made = unicast.fact()
+    assert spark_rows(made) == spark_rows(fact.select(made.columns))
+    assert [t.name.startswith("bazaar_transactions_") for t in unicast.spark.catalog.listTables()] == [True]
+    assert not any(name in os.listdir(unicast.root) for name in ("valid_lines", "lines_by_customer_id", "customers_by_key"))
+    unicast.close()
+    assert not unicast.spark.catalog.listTables() and not exists(unicast.spark, unicast.root)
+
+
+def spark_rows(df):
+    return sorted(map(repr, df.collect()))
+
+
+def test_lines_are_gathered_before_they_are_widened(warehouse):
+    rows = build_fact({t: warehouse.clean(t) for t in TABLES}, warehouse.calendar(), by_month=True)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Join LeftOuter") < plan.index("RebalancePartitions")  # every join is above, none below
