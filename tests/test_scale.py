@@ -6,13 +6,14 @@ import pyarrow.parquet as pq
 import pytest
 
 from bazaar.contract import TABLES, to_snake
+from bazaar.operators.dedup import keep_first
 from bazaar.operators.fact import build_fact, fact_columns
 from bazaar.plans import catalog
 from bazaar.plans.warehouse import PASSES, Warehouse
 from bazaar.sources import adapter
 from bazaar.sources.files import exists
 from bazaar.sources.sinks import ROW_GROUP_BYTES, write_fact, write_rows
-from bazaar.sources.workspace import SHUFFLE_CLEANUP, TASK_INPUT, bounded_tasks, new_folder, shuffles_removed
+from bazaar.sources.workspace import METHOD_BYTES, SHUFFLE_CLEANUP, TASK_INPUT, bounded_tasks, new_folder, shuffles_removed
 from tests.conftest import SF_DIR
 
 
@@ -128,3 +129,27 @@ def test_lines_are_gathered_before_they_are_widened(warehouse):
     rows = build_fact({t: warehouse.clean(t) for t in TABLES}, warehouse.calendar(), by_month=True)
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("Join LeftOuter") < plan.index("RebalancePartitions")  # every join is above, none below
+
+
+@pytest.mark.parametrize(("own", "held"), [(None, METHOD_BYTES[2]), ("20000", "20000")])
+def test_methods_that_the_jvm_does_not_compile_are_not_generated(spark, own, held):
+    session = spark.newSession()
+    if own:
+        session.conf.set(METHOD_BYTES[0], own)
+    bounded_tasks(session)
+    assert int(METHOD_BYTES[2]) <= 8000 and session.conf.get(METHOD_BYTES[0]) == held
+
+
+def test_lines_in_buckets_are_widened_by_date(unicast, fact):
+    """Otherwise a task goes from one month's file to another with every wide line."""
+    plan = unicast.build_fact(by_month=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [date#") == 1 and plan.index("ShuffledHashJoin [customer_id") < plan.index("Sort [date#")
+    assert spark_rows(unicast.build_fact(by_month=True).select(fact.columns)) == spark_rows(fact)
+
+
+def test_copies_are_sorted_by_a_hash_first(spark):
+    rows = spark.createDataFrame([("INV-1", None, 2), ("INV-1", None, 1), ("INV-1", 3, 1), (None, 3, 5)], "k string, n int, v int")
+    once = keep_first(rows, ["k", "n"])
+    sorts = [line for line in once._jdf.queryExecution().executedPlan().toString().splitlines() if "Sort [" in line]
+    assert sorts and all(line.split("Sort [")[1].startswith("_w0") for line in sorts)
+    assert sorted(map(repr, (tuple(r) for r in once.collect()))) == ["('INV-1', 3, 1)", "('INV-1', None, 1)", "(None, 3, 5)"]
