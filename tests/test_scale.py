@@ -79,6 +79,17 @@ def test_raw_lines_are_not_written(warehouse, fact):
     assert not warehouse.written("raw_transactions")
 
 
+def test_deliveries_are_made_in_one_run(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(catalog, "write_rows", lambda rows, path, **by: made.append(path) or write_rows(rows, path, **by))
+    monkeypatch.setattr(catalog.FactFollower, "follow_and_wait", lambda self, stream, checkpoint: None)
+    raw = {name: to_snake(df) for name, df in adapter.raw_tables(spark, SF_DIR).items()}
+    w = Warehouse(spark, raw, new_folder(spark, "warehouse"), sf_dir=SF_DIR)
+    catalog._follower(w)
+    assert made == [f"{w.root}/deliveries"] and not exists(spark, made[0])
+    w.close()
+
+
 def test_followed_deliveries_go(spark):
     raw = {name: to_snake(df) for name, df in adapter.raw_tables(spark, SF_DIR).items()}
     w = Warehouse(spark, raw, new_folder(spark, "warehouse"), sf_dir=SF_DIR)
